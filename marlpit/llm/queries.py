@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import bpe, simhash
+from marlpit.llm import bpe, rules, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -24,6 +34,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_rules": op5_rules,
+    "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op10_bpe": op10_bpe,
 }
