@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, so that memory in a task stays bounded.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Java and Python pattern of a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
