@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import bpe, mixing, quality, rules, sharding, simhash, sketch, warc
+from marlpit.llm import bpe, mixing, quality, rules, sharding, simhash, sketch, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "position")
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -52,6 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_substring": op3_substring,
     "op4_quality": op4_quality,
     "op5_rules": op5_rules,
     "op6_sharding": op6_sharding,
@@ -62,6 +68,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM w),
+        h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS g FROM s),
+        f AS (SELECT g, min(doc_id) AS low FROM h GROUP BY g),
+        r AS (SELECT doc_id, list(i) AS starts FROM h JOIN f USING (g) WHERE low < doc_id GROUP BY doc_id),
+        u AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM w JOIN r USING (doc_id)),
+        c AS (SELECT doc_id, list(i) AS cov FROM (SELECT DISTINCT doc_id, s0 + o AS i FROM (SELECT doc_id, unnest(starts) AS s0 FROM r), generate_series(0, 49) AS t(o)) GROUP BY doc_id),
+        k AS (SELECT u.doc_id, string_agg(u.ws[u.i], ' ' ORDER BY u.i) AS kept, count(*) AS n_kept
+              FROM u LEFT JOIN (SELECT doc_id, unnest(cov) AS i FROM c) x ON u.doc_id = x.doc_id AND u.i = x.i WHERE x.i IS NULL GROUP BY u.doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+               CAST(CASE WHEN r.doc_id IS NULL THEN 0 ELSE len(ws) - coalesce(n_kept, 0) END AS BIGINT) AS n_removed,
+               sha256(CASE WHEN r.doc_id IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+        FROM w LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
