@@ -1,19 +1,48 @@
-"""A training-corpus pipeline over `documents`: each stage is written as Parquet and read again by the next."""
+"""A training-corpus pipeline over `documents`: each stage is written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents, in rows that it kept, changed or put in another order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlpit.llm import simhash
+from marlpit.llm import bpe, mixing, quality, simhash, substring
 from marlpit.llm.text import materialize
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from labels, accepts (score of 0.3 or more)."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates: one document of each group stays."""
-    return simhash.keep_one(docs)
+    """SimHash near-duplicates: of each group the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs, radius=2, shingle=3)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document with a smaller doc_id has too are cut from the texts."""
+    return substring.without_repeats(docs, window=50)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their sources interleaved to target weights: the order of rows in the files."""
+    return mixing.in_order(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256) in the order of docs."""
+    return bpe.encode(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("bpe_encoding", bpe_encoding),
+]
 
 #: The stages are not expressible in SQL; tests compare them with brute force.
 ORACLE_SQL = None
