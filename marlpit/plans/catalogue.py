@@ -1,10 +1,8 @@
-"""The query catalogue: each operator family on the test tables, with its SQL twin."""
+"""All queries of the library, with their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from marlpit.plans import relational, scalars, writes
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = relational.QUERIES | scalars.QUERIES | writes.QUERIES
+ORACLES = relational.ORACLES | scalars.ORACLES | writes.ORACLES
