@@ -261,6 +261,32 @@ def each(df: DataFrame, doc: str) -> DataFrame:
     return df.select("*", F.explode(members).alias("key", "value"))
 
 
+def object_keys(df: DataFrame, doc: str) -> DataFrame:
+    """jsonb_object_keys()."""
+    return df.select("*", F.explode(F.json_object_keys(F.col(doc))).alias("key"))
+
+
+def to_record(df: DataFrame, doc: str, schema: str) -> DataFrame:
+    """jsonb_to_record(): a column for each field of the schema."""
+    fields = F.from_json(F.col(doc), schema)
+    return df.select(*df.columns, fields.alias("__mp_r")).select(*df.columns, "__mp_r.*")
+
+
+def path_query(df: DataFrame, doc: str, path: str) -> DataFrame:
+    """jsonb_path_query(): a row for each match; [*] takes every element."""
+    head, star, rest = path.partition("[*]")
+    found = F.from_json(F.get_json_object(F.col(doc), head), "array<string>") if star else F.array(extract_json(F.col(doc), head))
+    rows = df.select("*", F.explode(found).alias("value"))
+    if rest:
+        rows = rows.withColumn("value", F.get_json_object("value", "$" + rest))
+    return rows.where(F.col("value").isNotNull())
+
+
+def path_exists(doc: Column, path: str) -> Column:
+    """@?"""
+    return F.coalesce(F.is_variant_null(F.try_variant_get(F.try_parse_json(doc), path, "variant")).isNotNull() & F.try_variant_get(F.try_parse_json(doc), path, "variant").isNotNull(), F.lit(False))
+
+
 def array_elements(df: DataFrame, doc: str) -> DataFrame:
     """jsonb_array_elements_text()."""
     return df.select("*", F.explode(F.from_json(F.col(doc), "array<string>")).alias("value"))

@@ -58,6 +58,7 @@ class Session:
         self.spark = spark
         self.tables: dict[str, DataFrame] = {}
         self.meta: dict[str, TableMeta] = {}
+        self.views: dict[str, str] = {}
         self.sequences: dict[str, int] = {}
         self.hooks: list[Callable[[str, str], None]] = []
         self._saved: list[tuple[str, dict, dict, dict]] = []
@@ -116,6 +117,61 @@ class Session:
         named = {k: v for k, v in self.tables.items() if f"{{{k}}}" in text}
         return self.spark.sql(text, args=params, **named)
 
+    def create_view(self, name: str, text: str) -> None:
+        """A view: its query is planned anew, over the tables' versions of that moment, whenever it is read."""
+        self.views[name] = text
+
+    def view(self, name: str) -> DataFrame:
+        return self.sql(self.views[name])
+
+    def create_index(self, name: str, table: str, columns: list[str], unique: bool = False) -> None:
+        """Indexes are recorded; a unique one is a constraint from now on."""
+        meta = self.meta[table]
+        meta.indexes[name] = columns
+        if unique:
+            meta.unique.append(columns)
+            try:
+                self.check(table, self.tables[table])
+            except ConstraintError:
+                meta.unique.pop()
+                del meta.indexes[name]
+                raise
+
+    def index_list(self, table: str) -> DataFrame:
+        """(seq, name, unique, columns)."""
+        meta = self.meta[table]
+        rows = [(i, n, int(c in meta.unique), ", ".join(c)) for i, (n, c) in enumerate(meta.indexes.items())]
+        return self.spark.createDataFrame(rows, "seq int, name string, `unique` int, columns string")
+
+    def foreign_key_list(self, table: str) -> DataFrame:
+        """(id, table, from, to)."""
+        rows = [(i, other, column, theirs) for i, (column, other, theirs) in enumerate(self.meta[table].foreign_keys)]
+        return self.spark.createDataFrame(rows, "id int, `table` string, `from` string, `to` string")
+
+    def function_list(self) -> DataFrame:
+        """(name) of every function that SQL text may call."""
+        return self.spark.sql("SHOW FUNCTIONS").select(F.col("function").alias("name"))
+
+    def integrity_check(self) -> DataFrame:
+        """(table, message) of every table whose rows break a constraint."""
+        rows = []
+        for name, df in self.tables.items():
+            try:
+                self.check(name, df)
+            except ConstraintError as e:
+                rows.append((name, str(e)))
+        return self.spark.createDataFrame(rows, "table string, message string")
+
+    def explain(self, text: str) -> str:
+        """The formatted physical plan."""
+        return self.sql(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    def statistics(self, name: str) -> DataFrame:
+        """ANALYZE: (column, n, distinct, nulls, low, high) of a table, in one pass with sketches for the distinct counts."""
+        df = self.tables[name]
+        each = [F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), F.approx_count_distinct(c, 0.01).alias("distinct"), F.sum(F.col(c).isNull().cast("bigint")).alias("nulls"), F.min(F.col(c).cast("string")).alias("low"), F.max(F.col(c).cast("string")).alias("high")) for c, kind in df.dtypes if "<" not in kind]
+        return df.agg(F.array(*each).alias("x")).select(F.inline("x"))
+
     def schema_table(self) -> DataFrame:
         """(type, name, columns) of every table, as a DataFrame."""
         rows = [("table", n, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)) for n, df in sorted(self.tables.items())]
@@ -187,6 +243,15 @@ class Session:
         self.sequences[name] = self.sequences.get(name, 0) + 1
         return self.sequences[name]
 
+    def nextvals(self, name: str, df: DataFrame, column: str, order: list) -> DataFrame:
+        """df with the sequence's next values, one a row in the given order; the sequence moves on by the number of rows."""
+        from marlpit.operators.dml import with_row_ids
+
+        start = self.spark.range(1).select(F.lit(self.sequences.get(name, 0)).cast("bigint").alias(column))
+        out = with_row_ids(start, df, column, order)
+        self.sequences[name] = self.sequences.get(name, 0) + df.count()
+        return out
+
     def currval(self, name: str) -> int:
         return self.sequences[name]
 
