@@ -22,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from marlpit.llm.text import encode_words, ranges, slices, split_words
 
 #: Code points of a leaf of unsplit text; bytes of text and distinct words worked on at once.
-LEAF, STEP_BYTES, BATCH_WORDS = 2048, 12 << 20, 20_000
+LEAF, STEP_BYTES, BATCH_WORDS = 2048, 8 << 20, 10_000
 
 Token = tuple[int, int, int]
 
@@ -138,11 +137,8 @@ def encode_texts(texts: pa.Array, path: str, leaf: int = LEAF) -> Iterator[tuple
         yield at, ids, ends[off]
 
 
-def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens long, ids array<int>, ids_sha256 of the ids as little-endian unsigned 32-bit integers)."""
-    path = path or default_path()
-
-    def run(batches):
+def _encode(path: str, leaf: int, id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for at, ids, off in encode_texts(x.column(1), path, leaf):
                 raw = ids.astype("<u4")
@@ -150,8 +146,13 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, id_col: s
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.record_batch({id_col: x.column(0).slice(at, len(off) - 1), "n_tokens": pa.array(np.diff(off)), "ids": lists, "ids_sha256": pa.array(sha, pa.string())})
 
+    return run
+
+
+def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens long, ids array<int>, ids_sha256 of the ids as little-endian unsigned 32-bit integers)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids array<int>, ids_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(_encode(path or default_path(), leaf, id_col), f"{id_col} {kind}, n_tokens long, ids array<int>, ids_sha256 string")
 
 
 def token_strings(path: str) -> pa.Array:
@@ -163,27 +164,39 @@ def token_strings(path: str) -> pa.Array:
     return pa.array(out, pa.large_string())
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """The table with `text`: the tokens of ids, joined by one space where the tokenizer file names no decoder."""
-    path = path or default_path()
+def _decode(path: str):
     with open(path, encoding="utf-8") as f:
         plain = json.load(f).get("decoder") is None
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_strings(path)
         for x in batches:
             lists = x.column(x.schema.get_field_index("ids"))
             if plain:
                 strings = tokens.take(lists.flatten())
                 off = np.asarray(lists.offsets).astype(np.int64)
-                text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(off - off[0]), strings), " ").cast(pa.string())
+                text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(off - off[0]), strings), pa.scalar(" ", pa.large_string())).cast(pa.string())
             else:
                 text = pa.array([load(path).decode(i, skip_special_tokens=False) for i in lists.to_pylist()], pa.string())
             yield pa.record_batch([*x.columns, text], schema=x.schema.append(pa.field("text", pa.string())))
 
-    return encoded.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, text string")
+    return run
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """The table with `text`: the tokens of ids, joined by one space where the tokenizer file names no decoder."""
+    return encoded.mapInArrow(_decode(path or default_path()), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, text string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded and decoded again, in one pass of a worker."""
+    path = path or default_path()
+    there, back = _encode(path, leaf, "doc_id"), _decode(path)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in back(there(batches)):
+            sha = [hashlib.sha256(t).hexdigest() for t in x.column(4).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch({"doc_id": x.column(0), "n_tokens": x.column(1), "ids_sha256": x.column(3), "decoded_sha256": pa.array(sha, pa.string())})
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
-    return decode(encode(docs, path), path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,8 +9,9 @@ Probability of word w after v: (1 - b) * floor(vw) / ceiling(v) + b * p1(w), whe
 by leaving one out over the counted pairs, and p1 is absolute discounting over the levels: what is held back goes to
 unknown words, as one class. The sum over words is at most one, but for the filter's wrong hits.
 
-While the filter is no larger than `broadcast_bytes` every worker gets it whole. Beyond, documents are dealt in groups,
-each group's distinct n-grams are sent to the segments, and their levels sent back: the same probes elsewhere.
+While a filter (of words, of pairs) is no larger than `broadcast_bytes` every worker gets it whole. Beyond, documents
+are dealt in lots, each lot's distinct n-grams are sent to the segments, and their levels sent back: the same probes
+elsewhere.
 
 A null text is an empty one: one token, the end. An empty table gives an empty result; without any training row the
 probability of every token is that of one unknown class, 1. Repeated rows are counted as often as they come and get equal scores. A null doc_id trains
@@ -19,7 +20,6 @@ like others. Other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,8 +35,8 @@ END = "\n"  # no word has white space
 PROBES, BITS = 6, 8.66
 #: The smallest count of each level, from level 1.
 FLOORS = np.array([*range(1, 8), *(int(2 ** (3 + i // 4) * (4 + i % 4) // 4) for i in range(200))], np.float64)
-#: Heavier words than 1 in HEAVY of all tokens are at most HEAVY: their exact counts fit in a broadcast.
-HEAVY, SEGMENT_WORDS, STEP = 1 << 18, 2_000_000, 6 << 20
+#: Heavier words than 1 in HEAVY of all tokens are at most HEAVY: their exact counts fit in a broadcast. Lots to a shuffle partition.
+HEAVY, SEGMENT_WORDS, STEP, LOTS = 1 << 18, 2_000_000, 6 << 20, 16
 BROADCAST_BYTES = 128 << 20
 
 
@@ -128,46 +128,49 @@ class Batch:
         out[own] = codes
         return cls(words, hash_strings(words, 7), out, off)
 
+    def before(self) -> np.ndarray:
+        """The code before each token; a text's first comes after END."""
+        out = np.empty_like(self.codes)
+        out[1:] = self.codes[:-1]
+        out[self.off[:-1]] = len(self.words) - 1
+        return out
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs (first code, second code) and each token's pair; a text's first token comes after END."""
-        before = np.empty_like(self.codes)
-        before[1:] = self.codes[:-1]
-        before[self.off[:-1]] = len(self.words) - 1
-        key = before * len(self.words) + self.codes
-        key, own = np.unique(key, return_inverse=True)
-        return key // len(self.words), key % len(self.words), own
+        """Distinct pairs (first code, second code) and how often each comes."""
+        key, count = np.unique(self.before() * len(self.words) + self.codes, return_counts=True)
+        return key // len(self.words), key % len(self.words), count
+
+    def token_pairs(self) -> np.ndarray:
+        """Each token's pair hash."""
+        return pair_hash(self.hashes[self.before()], self.hashes[self.codes])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, part in slices(b.column(0), STEP):
+        for _, part in slices(b.column(0), 2 * STEP):
             x = Batch.of(part)
             count = np.bincount(x.codes, minlength=len(x.words))
             yield pa.record_batch({"token": x.words.cast(pa.string()), "n": pa.array(count)})
 
 
-def _count_pairs(words: Filter, segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # 64 bits a pair: 40 of the hash within its segment, the levels of both words, and a count
-        for b in batches:
-            for _, part in slices(b.column(0), 4 * STEP):
-                x = Batch.of(part)
-                level = np.minimum(words.levels(x.hashes), 255).astype(np.uint64)
-                v, w, own = x.pairs()
-                count = np.bincount(own, minlength=len(v))
-                h = pair_hash(x.hashes[v], x.hashes[w])
-                seg = (h % np.uint64(segments)).astype(np.int64)
-                more = -(-count // 255)
-                last = np.repeat(np.cumsum(more) - 1, more)
-                key = (h >> np.uint64(24) << np.uint64(24)) | level[v] << np.uint64(16) | level[w] << np.uint64(8)
-                each, seg = np.repeat(key, more), np.repeat(seg, more)
-                each |= np.where(np.arange(len(each)) == last, np.repeat(count - 255 * (more - 1), more), 255).astype(np.uint64)
-                order = np.argsort(seg, kind="stable")
-                each, cuts = each[order], np.searchsorted(seg[order], np.arange(segments + 1))
-                have = np.flatnonzero(np.diff(cuts))
-                yield pa.record_batch({"seg": pa.array(have), "rows": pa.array([each[cuts[s] : cuts[s + 1]].tobytes() for s in have], pa.binary())})
-
-    return run
+def _count_pairs(texts: Iterator[pa.Array], word_levels: Callable[[np.ndarray], np.ndarray], segments: int) -> Iterator[pa.RecordBatch]:
+    # 64 bits a pair: 40 of the hash within its segment, the levels of both words, and a count
+    for column in texts:
+        for _, part in slices(column, 4 * STEP):
+            x = Batch.of(part)
+            level = np.minimum(word_levels(x.hashes), 255).astype(np.uint64)
+            v, w, count = x.pairs()
+            h = pair_hash(x.hashes[v], x.hashes[w])
+            seg = (h % np.uint64(segments)).astype(np.uint16 if segments < 1 << 16 else np.int64)
+            more = -(-count // 255)
+            last = np.repeat(np.cumsum(more) - 1, more)
+            key = (h >> np.uint64(24) << np.uint64(24)) | level[v] << np.uint64(16) | level[w] << np.uint64(8)
+            each, seg = np.repeat(key, more), np.repeat(seg, more)
+            each |= np.where(np.arange(len(each)) == last, np.repeat(count - 255 * (more - 1), more), 255).astype(np.uint64)
+            order = np.argsort(seg, kind="stable")
+            each, cuts = each[order], np.searchsorted(seg[order], np.arange(segments + 1))
+            have = np.flatnonzero(np.diff(cuts))
+            yield pa.record_batch({"seg": pa.array(have), "rows": pa.array([each[cuts[s] : cuts[s + 1]].tobytes() for s in have], pa.binary())})
 
 
 #: Cells of the leave-one-out counts: level of the first word, of the second, and the pair's level.
@@ -175,10 +178,8 @@ PAIR_LEVELS = 24
 
 
 def _pair_segment(key, table):
-    rows = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("rows")])
+    rows = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("rows")]))
     ngram, count = rows >> np.uint64(8), (rows & np.uint64(255)).astype(np.int64)
-    order = np.argsort(ngram)
-    ngram, count = ngram[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], ngram[1:] != ngram[:-1]]))
     ngram, count = ngram[first], np.add.reduceat(count, first)
     level = level_of(count)
@@ -231,13 +232,13 @@ class Model:
             return np.ones(len(level))
         return np.where(level > 0, floor_of(level) - self.discount, max(self.discount * self.types, 1e-3)) / self.mass
 
-    def token_scores(self, x: Batch, word_level: np.ndarray, pair_level: np.ndarray, pairs) -> np.ndarray:
+    def token_scores(self, x: Batch, word_level: np.ndarray, pair_level: np.ndarray) -> np.ndarray:
         """log10 probability of each token."""
-        v, w, own = pairs
-        seen = floor_of(pair_level) / np.maximum(ceiling_of(word_level[v]), 1)
-        seen = np.where((word_level[v] > 0) & (word_level[w] > 0), np.minimum(seen, 1), 0)
-        b = self.backoff[np.minimum(word_level[v], 255)]
-        return np.log10((1 - b) * seen + b * self.p1(word_level[w]))[own]
+        v, w = x.before(), x.codes
+        ceiling, b, p1 = np.maximum(ceiling_of(word_level), 1), self.backoff[np.minimum(word_level, 255)], self.p1(word_level)
+        known = word_level > 0
+        seen = np.where(known[v] & known[w], np.minimum(floor_of(pair_level) / ceiling[v], 1), 0)
+        return np.log10((1 - b[v]) * seen + b[v] * p1[w])
 
 
 def _text_scores(x: Batch, scores: np.ndarray) -> np.ndarray:
@@ -287,63 +288,73 @@ def score_corpus(docs: DataFrame, held_out_part: int = 2, of: int = 7, broadcast
     size = lambda df: df.agg(F.sum(F.octet_length("bits"))).first()[0] if total else 64
 
     def whole(df) -> Filter:
-        empty = np.zeros(8, np.uint8)
-        found = {r.seg: np.frombuffer(r.bits, np.uint8) for r in df.select("seg", "bits").collect()} if total else {}
-        return Filter.of([found.get(s, empty) for s in range(segments)])
-
-    if size(word_segments if total else None) > broadcast_bytes:
-        raise ValueError("the vocabulary alone is larger than broadcast_bytes; raise it")
-    model.words = whole(word_segments if total else None)
-    sent_words = spark.sparkContext.broadcast(model.words)
-    pair_segments = None
+        """The filter of all segments, of a size that was checked; a partition at a time goes through the driver."""
+        sizes = np.full(segments, 8, np.int64)
+        for r in df.select("seg", F.octet_length("bits").alias("n")).collect() if total else ():
+            sizes[r.seg] = r.n
+        first = np.cumsum(sizes) - sizes
+        bits = np.zeros(int(sizes.sum()), np.uint8)
+        for r in df.select("seg", "bits").toLocalIterator() if total else ():
+            bits[first[r.seg] : first[r.seg] + sizes[r.seg]] = np.frombuffer(r.bits, np.uint8)
+        return Filter(bits, (8 * first).astype(np.uint64), (8 * sizes).astype(np.uint64))
+
+    word_table = word_segments if total else None
+    few_words = not total or size(word_table) <= broadcast_bytes
+    sent_words = spark.sparkContext.broadcast(whole(word_table)) if few_words else None
+    # row_key names a row from one pass over the input to its sums, within one query
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_key")).withColumn("lot", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts * LOTS)).cast("int"))
+    pair_segments = word_answers = None
     if total:
+        schema = "seg long, rows binary"
+        if few_words:
 
-        def count_pairs(batches):
-            yield from _count_pairs(sent_words.value, segments)(batches)
+            def count_pairs(batches):
+                return _count_pairs((b.column(0) for b in batches), sent_words.value.levels, segments)
 
-        pair_segments = materialize(train.mapInArrow(count_pairs, "seg long, rows binary").groupBy("seg").applyInArrow(_pair_segment, built), "pair-segments")
+            counted = train.mapInArrow(count_pairs, schema)
+        else:
+            word_answers = materialize(_answers(rows, _word_hashes, word_segments, segments, lambda f, h: f.levels(h)), "word-levels")
+
+            def count_lot(key, table, answers):
+                found = list(_count_pairs(iter([table.column("text")]), _lookup(answers), segments))
+                return pa.Table.from_batches(found, pa.schema([("seg", pa.int64()), ("rows", pa.binary())]))
+
+            train_lots = rows.where(~held).groupBy("lot").cogroup(word_answers.groupBy("lot"))
+            counted = train_lots.applyInArrow(count_lot, schema)
+        pair_segments = materialize(counted.groupBy("seg").applyInArrow(_pair_segment, built), "pair-segments")
         cells = {r[0]: r[1] for r in pair_segments.select(F.explode(F.arrays_zip("cells", "tokens")).alias("x")).groupBy("x.cells").agg(F.sum("x.tokens")).collect()}  # bounded: levels
         model.backoff = fit_backoff(cells, model.p1)
 
     # exact counts of heavy words, at most HEAVY of them, go along; the others' meet by a join
-    heavy = counts.where(F.col("c") * HEAVY >= total).collect() if total else []
-    heavy_hash = hash_strings(pa.array([r.token for r in heavy], pa.string()), 7)
-    order = np.argsort(heavy_hash)
-    base = (heavy_hash[order], np.array([r.c for r in heavy], np.int64)[order])
+    base = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if total:
+        heavy = counts.where(F.col("c") * HEAVY >= total).mapInArrow(hashed, "seg long, h long, c long").select("h", "c").toArrow()
+        heavy_hash = np.asarray(heavy.column("h").combine_chunks()).view(np.uint64)
+        order = np.argsort(heavy_hash)
+        base = (heavy_hash[order], np.asarray(heavy.column("c").combine_chunks())[order])
     context = spark.sparkContext.broadcast((model.backoff, model.discount, model.types, model.mass, base))
 
-    def rows_of(x: Batch, ids: pa.Array, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A row for each text, and rows (token, times) for its words that are not heavy."""
+    def rows_of(x: Batch, keys: pa.Array, ids: pa.Array, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row with a summary for each text, and rows (token, times) for its words that are not heavy."""
         known_hash, known_count = context.value[4]
         at = np.minimum(np.searchsorted(known_hash, x.hashes), max(len(known_hash) - 1, 0))
         is_heavy = known_hash[at] == x.hashes if len(known_hash) else np.zeros(len(x.hashes), bool)
         c = np.where(is_heavy, known_count[at] if len(known_hash) else 0, 0)
         logs = np.where(is_heavy, np.log10((c + 1) / (total + types + 1)), 0)
         n, n_texts = np.diff(x.off), len(x.off) - 1
-        text = np.repeat(np.arange(n_texts), n)
-        rare = ~is_heavy[x.codes]
-        key, times = np.unique(text[rare] * len(x.words) + x.codes[rare], return_counts=True)
+        rare = np.flatnonzero(~is_heavy[x.codes])
+        key, times = np.unique(np.searchsorted(x.off, rare, side="right") * len(x.words) - len(x.words) + x.codes[rare], return_counts=True)
         own, word = key // len(x.words), key % len(x.words)
-        summary = [uuid.uuid4().hex for _ in range(n_texts)]
-        row_key = pa.array(summary)
-        token = pa.concat_arrays([pa.array([f"{END}{s}" for s in summary]), x.words.take(pa.array(word)).cast(pa.string())])
-        pad = pa.nulls(len(own), pa.float64())
-        yield pa.record_batch(
-            {
-                "row_key": pa.concat_arrays([row_key, row_key.take(pa.array(own))]),
-                "token": token,
-                "times": pa.array(np.concatenate([np.zeros(n_texts, np.int64), times])),
-                "doc_id": pa.concat_arrays([ids, pa.nulls(len(own), ids.type)]),
-                "n_tokens": pa.concat_arrays([pa.array(n), pa.nulls(len(own), pa.int64())]),
-                "heavy": pa.concat_arrays([pa.array(np.add.reduceat(is_heavy[x.codes].astype(np.int64), x.off[:-1])), pa.nulls(len(own), pa.int64())]),
-                "base": pa.concat_arrays([pa.array(np.add.reduceat(logs[x.codes], x.off[:-1])), pad]),
-                "score": pa.concat_arrays([pa.array(scores), pad]),
-            }
+        marks = pc.binary_join_element_wise(pa.scalar(END, pa.string()), keys.cast(pa.string()), "")  # no word's text
+        sums = pa.StructArray.from_arrays(
+            [ids, pa.array(n), pa.array(np.add.reduceat(is_heavy[x.codes].astype(np.int64), x.off[:-1])), pa.array(np.add.reduceat(logs[x.codes], x.off[:-1])), pa.array(scores)],
+            names=["doc_id", "n_tokens", "heavy", "base", "score"],
         )
+        yield pa.record_batch({"row_key": keys, "token": marks, "times": pa.array(np.zeros(n_texts, np.int64)), "text": sums})
+        yield pa.record_batch({"row_key": keys.take(pa.array(own)), "token": x.words.take(pa.array(word)).cast(pa.string()), "times": pa.array(times), "text": pa.nulls(len(own), sums.type)})
 
-    out = f"row_key string, token string, times long, doc_id {kind}, n_tokens long, heavy long, base double, score double"
-    rows = docs.select("doc_id", "text")
-    if not total or size(pair_segments) <= broadcast_bytes:
+    out = f"row_key long, token string, times long, text struct<doc_id: {kind}, n_tokens: bigint, heavy: bigint, base: double, score: double>"
+    if few_words and (not total or size(pair_segments) <= broadcast_bytes):
         sent_pairs = spark.sparkContext.broadcast(whole(pair_segments))
 
         def run(batches):
@@ -351,33 +362,27 @@ def score_corpus(docs: DataFrame, held_out_part: int = 2, of: int = 7, broadcast
             for b in batches:
                 for at, part in slices(b.column(1), STEP):
                     x = Batch.of(part)
-                    pairs = x.pairs()
-                    found = pair_levels(own.pairs, x, pairs, segments)
-                    scores = own.token_scores(x, own.words.levels(x.hashes), found, pairs)
-                    yield from rows_of(x, b.column(0).slice(at, len(part)), _text_scores(x, scores))
+                    found = SegmentedPairs(own.pairs, segments).levels(x.token_pairs())
+                    scores = own.token_scores(x, own.words.levels(x.hashes), found)
+                    yield from rows_of(x, b.column(2).slice(at, len(part)), b.column(0).slice(at, len(part)), _text_scores(x, scores))
 
-        scored = rows.mapInArrow(run, out)
+        scored = rows.select("doc_id", "text", "row_key").mapInArrow(run, out)
     else:
-        scored = _scored_by_segments(rows, pair_segments, segments, parts, sent_words, context, rows_of, out)
+        if word_answers is None:
+            word_answers = _answers(rows, _word_hashes, word_segments, segments, lambda f, h: f.levels(h))
+        pair_answers = _answers(rows, _pair_hashes, pair_segments, segments, lambda f, h: SegmentedPairs(f, 1).levels(h))
+        scored = _scored_by_lots(rows, word_answers.unionAll(pair_answers), context, rows_of, out)
     joined = scored.join(counts, "token", "left")
     add_one = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + types + 1)))
     joined = joined.groupBy("row_key").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("heavy") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(F.when(F.col("times") > 0, F.col("times") * add_one).otherwise(0.0))).alias("base_score"),
-        F.max("score").alias("score"),
+        *(F.max(f"text.{c}").alias(c) for c in ("doc_id", "n_tokens", "heavy", "base", "score")),
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.when(F.col("times") > 0, F.col("times") * add_one).otherwise(0.0)).alias("rare"),
     )
+    joined = joined.select("doc_id", "n_tokens", (F.col("heavy") + F.col("known")).alias("n_known"), (F.col("base") + F.col("rare")).alias("base_score"), "score")
     return joined.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def pair_levels(pairs: Filter, x: Batch, found, segments: int) -> np.ndarray:
-    """Levels of a batch's distinct pairs: each is sought in the segment of its hash, under the bits that were kept."""
-    v, w, _ = found
-    h = pair_hash(x.hashes[v], x.hashes[w])
-    return SegmentedPairs(pairs, segments).levels(h)
-
-
 @dataclass
 class SegmentedPairs:
     """Probes a filter whose segments are chosen by the whole hash, and places by its upper 40 bits."""
@@ -407,20 +412,24 @@ def _levels_in(f: Filter, h: np.ndarray, first: np.ndarray, size: np.ndarray) ->
     return out
 
 
-def _scored_by_segments(rows: DataFrame, pair_segments: DataFrame, segments: int, parts: int, sent_words, context, rows_of, out: str) -> DataFrame:
-    """Scores where the filter is too large to broadcast: distinct pairs of a group of texts go to their segments and back."""
-    grouped = rows.withColumn("lot", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts * 16)).cast("int"))
+def _texts_of(table: pa.Table) -> Iterator[tuple[int, int, Batch]]:
+    for at, part in slices(table.column("text"), STEP):
+        yield at, len(part), Batch.of(part)
 
-    def batches_of(table: pa.Table):
-        for at, part in slices(table.column("text"), STEP):
-            yield at, len(part), Batch.of(part)
 
-    def ask(key, table):
-        each = [np.zeros(0, np.uint64)]
-        for _, _, x in batches_of(table):
-            v, w, _ = x.pairs()
-            each.append(pair_hash(x.hashes[v], x.hashes[w]))
-        h = np.unique(np.concatenate(each))
+def _word_hashes(x: Batch) -> np.ndarray:
+    return x.hashes
+
+
+def _pair_hashes(x: Batch) -> np.ndarray:
+    return x.token_pairs()
+
+
+def _answers(rows: DataFrame, hashes: Callable[[Batch], np.ndarray], table: DataFrame, segments: int, levels: Callable) -> DataFrame:
+    """(lot, h, levels): each lot's distinct n-grams go to their segments and come back with their levels."""
+
+    def ask(key, texts):
+        h = np.unique(np.concatenate([np.zeros(0, np.uint64), *(hashes(x) for _, _, x in _texts_of(texts))]))
         seg = (h % np.uint64(segments)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
         h, cuts = h[order], np.searchsorted(seg[order], np.arange(segments + 1))
@@ -429,26 +438,32 @@ def _scored_by_segments(rows: DataFrame, pair_segments: DataFrame, segments: int
 
     def answer(key, asked, segment):
         f = Filter.of([np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint8) if len(segment) else np.zeros(8, np.uint8)])
-        found = []
-        for x in asked.column("h"):
-            h = np.frombuffer(x.as_buffer(), np.uint64)
-            found.append(SegmentedPairs(f, 1).levels(h).astype(np.uint8).tobytes())
+        found = [levels(f, np.frombuffer(x.as_buffer(), np.uint64)).astype(np.uint8).tobytes() for x in asked.column("h")]
         return pa.table({"lot": asked.column("lot"), "h": asked.column("h"), "levels": pa.array(found, pa.binary())})
 
-    def finish(key, table, answers):
-        h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in answers.column("h"))])
-        level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for x in answers.column("levels"))])
-        order = np.argsort(h)
-        h, level = h[order], level[order].astype(np.int64)
-        own = Model(sent_words.value, None, *context.value[:4])
-        ids, done = table.column("doc_id").combine_chunks(), []
-        for at, n, x in batches_of(table):
-            pairs = x.pairs()
-            found = level[np.searchsorted(h, pair_hash(x.hashes[pairs[0]], x.hashes[pairs[1]]))]
-            scores = own.token_scores(x, own.words.levels(x.hashes), found, pairs)
-            done += rows_of(x, ids.slice(at, n), _text_scores(x, scores))
+    asked = rows.groupBy("lot").applyInArrow(ask, "lot int, seg long, h binary")
+    return asked.groupBy("seg").cogroup(table.select("seg", "bits").groupBy("seg")).applyInArrow(answer, "lot int, h binary, levels binary")
+
+
+def _lookup(answers: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
+    """Levels by hash, from a lot's answers."""
+    h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in answers.column("h"))])
+    level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for x in answers.column("levels"))]).astype(np.int64)
+    order = np.argsort(h)
+    h, level = h[order], level[order]
+    return lambda asked: level[np.searchsorted(h, asked)]
+
+
+def _scored_by_lots(rows: DataFrame, answers: DataFrame, context, rows_of, out: str) -> DataFrame:
+    """Scores of lots of texts beside the levels of all their words and pairs."""
+
+    def finish(key, table, found):
+        levels = _lookup(found)
+        own = Model(None, None, *context.value[:4])
+        keys, ids, done = table.column("row_key").combine_chunks(), table.column("doc_id").combine_chunks(), []
+        for at, n, x in _texts_of(table):
+            scores = own.token_scores(x, levels(x.hashes), levels(_pair_hashes(x)))
+            done += rows_of(x, keys.slice(at, n), ids.slice(at, n), _text_scores(x, scores))
         return pa.Table.from_batches(done)
 
-    asked = grouped.groupBy("lot").applyInArrow(ask, "lot int, seg long, h binary")
-    answered = asked.groupBy("seg").cogroup(pair_segments.select("seg", "bits").groupBy("seg")).applyInArrow(answer, "lot int, h binary, levels binary")
-    return grouped.groupBy("lot").cogroup(answered.groupBy("lot")).applyInArrow(finish, out)
+    return rows.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(finish, out)

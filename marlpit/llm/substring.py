@@ -33,8 +33,9 @@ from marlpit.llm.fm import FMIndex
 from marlpit.llm.text import encode_words, materialize, mix, ranges, slices, split_words, word_hashes
 
 WINDOW, ANCHOR, PIECE = 50, 16, 64
-#: Words of a shard; documents with an anchor beyond which its windows are dealt one by one.
-SHARD_WORDS, HOT = 400_000, 1000
+#: Words of a shard; documents with an anchor beyond which its stretches alone would fill a shard (about 75 words each),
+#: and its windows are dealt one by one.
+SHARD_WORDS, HOT = 400_000, 5000
 
 
 def anchors(h: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,6 +113,7 @@ def _segments(window: int):
                             "seg": pa.array(digest, pa.binary()),
                             "key": pa.array(key.view(np.int64)),
                             "words": pa.array(words[few]),
+                            "single": pa.array(np.arange(step, step + len(own)) >= len(r1)),
                             "text": text.cast(pa.string()),
                         }
                     )
@@ -148,11 +150,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     found = materialize(rows.mapInArrow(_anchor_rows(window), "id long, anchor long"), "anchors")
     shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", (F.col("n") > HOT).alias("hot"))
     hits = found.join(shared, "anchor").groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    kind = "id long, at long, seg binary, key long, words long, text string"
+    kind = "id long, at long, seg binary, key long, words long, single boolean, text string"
     segments = materialize(rows.join(hits, "id").select("id", "text", "cold", "hot").mapInArrow(_segments(window), kind), "segments")
     shards = 1 + int((segments.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS)
-    single = segments.groupBy("seg", "key", "text").agg(F.min("id").alias("low"))
-    dealt = single.select("seg", "text", "low", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
+    distinct = segments.groupBy("seg", "key", "text", "single").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    # a hot anchor's window that one id has alone is not repeated
+    dealt = distinct.where("not single or low < high").select("seg", "text", "low", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     lows = dealt.groupBy("shard").applyInArrow(_smallest_ids(window), "seg binary, lows array<long>")
     places = segments.select("id", "at", "seg").join(lows, "seg")
     starts = F.transform(F.filter(F.sequence(F.lit(0), F.size("lows") - 1), lambda i: F.get("lows", i) < F.col("id")), lambda i: F.col("at") + i)

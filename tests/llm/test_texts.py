@@ -383,3 +383,12 @@ def test_mixing_two_sources():
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_words_are_cut_at_ascii_white_space_only():
+    from marlpit.llm.text import slices, split_words
+
+    texts = ["".join(f"{chr(c)}a" for c in range(300)), "\x1c\x1d x\x1f y\x85\xa0z q ", "　a\x0b\x0cb", "a\x00b c", "", None]
+    flat, off = split_words(next(slices(pa.array(texts)))[1])
+    assert [flat.slice(a, b - a).to_pylist() for a, b in zip(off[:-1], off[1:])] == [WORD.findall(t or "") for t in texts]
+    assert [at for at, _ in slices(pa.array(["x" * 10] * 5), 25)] == [0, 2, 4]
