@@ -140,9 +140,10 @@ class Batch:
         key, count = np.unique(self.before() * len(self.words) + self.codes, return_counts=True)
         return key // len(self.words), key % len(self.words), count
 
-    def token_pairs(self) -> np.ndarray:
-        """Each token's pair hash."""
-        return pair_hash(self.hashes[self.before()], self.hashes[self.codes])
+    def token_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the distinct pairs, and each token's place among them: frequent pairs take most probes, once."""
+        key, own = np.unique(self.before() * len(self.words) + self.codes, return_inverse=True)
+        return pair_hash(self.hashes[key // len(self.words)], self.hashes[key % len(self.words)]), own
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count_pairs(texts: Iterator[pa.Array], word_levels: Callable[[np.ndarray], np.ndarray], segments: int) -> Iterator[pa.RecordBatch]:
     # 64 bits a pair: 40 of the hash within its segment, the levels of both words, and a count
     for column in texts:
-        for _, part in slices(column, 4 * STEP):
+        for _, part in slices(column, 2 * STEP):
             x = Batch.of(part)
             level = np.minimum(word_levels(x.hashes), 255).astype(np.uint64)
             v, w, count = x.pairs()
@@ -362,8 +363,9 @@ def score_corpus(docs: DataFrame, held_out_part: int = 2, of: int = 7, broadcast
             for b in batches:
                 for at, part in slices(b.column(1), STEP):
                     x = Batch.of(part)
-                    found = SegmentedPairs(own.pairs, segments).levels(x.token_pairs())
-                    scores = own.token_scores(x, own.words.levels(x.hashes), found)
+                    pairs, places = x.token_pairs()
+                    found = SegmentedPairs(own.pairs, segments).levels(pairs)
+                    scores = own.token_scores(x, own.words.levels(x.hashes), found[places])
                     yield from rows_of(x, b.column(2).slice(at, len(part)), b.column(0).slice(at, len(part)), _text_scores(x, scores))
 
         scored = rows.select("doc_id", "text", "row_key").mapInArrow(run, out)
@@ -422,7 +424,7 @@ def _word_hashes(x: Batch) -> np.ndarray:
 
 
 def _pair_hashes(x: Batch) -> np.ndarray:
-    return x.token_pairs()
+    return x.token_pairs()[0]
 
 
 def _answers(rows: DataFrame, hashes: Callable[[Batch], np.ndarray], table: DataFrame, segments: int, levels: Callable) -> DataFrame:
@@ -462,7 +464,8 @@ def _scored_by_lots(rows: DataFrame, answers: DataFrame, context, rows_of, out:
         own = Model(None, None, *context.value[:4])
         keys, ids, done = table.column("row_key").combine_chunks(), table.column("doc_id").combine_chunks(), []
         for at, n, x in _texts_of(table):
-            scores = own.token_scores(x, levels(x.hashes), levels(_pair_hashes(x)))
+            pairs, places = x.token_pairs()
+            scores = own.token_scores(x, levels(x.hashes), levels(pairs)[places])
             done += rows_of(x, keys.slice(at, n), ids.slice(at, n), _text_scores(x, scores))
         return pa.Table.from_batches(done)
 
