@@ -29,14 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.llm.text import crc_mod, encode_words, hash_strings, materialize, mix, slices, split_words
+from marlpit.llm.text import crc_mod, encode_words, give_back, hash_strings, materialize, mix, slices, split_words
 
 END = "\n"  # no word has white space
 PROBES, BITS = 6, 8.66
 #: The smallest count of each level, from level 1.
 FLOORS = np.array([*range(1, 8), *(int(2 ** (3 + i // 4) * (4 + i % 4) // 4) for i in range(200))], np.float64)
 #: Heavier words than 1 in HEAVY of all tokens are at most HEAVY: their exact counts fit in a broadcast. Lots to a shuffle partition.
-HEAVY, SEGMENT_WORDS, STEP, LOTS = 1 << 18, 2_000_000, 6 << 20, 16
+HEAVY, SEGMENT_WORDS, STEP, LOTS, PROBED = 1 << 20, 2_000_000, 4 << 20, 16, 1 << 15
 BROADCAST_BYTES = 128 << 20
 
 
@@ -65,10 +65,14 @@ class Filter:
     size: np.ndarray
 
     @staticmethod
-    def places(h: np.ndarray, j: np.ndarray, probe: int, size: np.ndarray) -> np.ndarray:
-        x = mix(h + j.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        step = x + np.uint64(probe) * (mix(x) | np.uint64(1))
-        return ((step >> np.uint64(32)) * size) >> np.uint64(32)
+    def strides(h: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of (n-gram, j) start, and the step from each to the next."""
+        x = mix(h + j * np.uint64(0xD1B54A32D192ED03))
+        return x, mix(x) | np.uint64(1)
+
+    @staticmethod
+    def place(x: np.ndarray, step: np.ndarray, probe: int, size: np.ndarray) -> np.ndarray:
+        return (((x + np.uint64(probe) * step) >> np.uint64(32)) * size) >> np.uint64(32)
 
     @classmethod
     def segment(cls, h: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -77,8 +81,9 @@ class Filter:
         j = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
         size = np.uint64(max(64, int(np.ceil(len(each) * BITS / 8)) * 8))
         bits = np.zeros(int(size), bool)
+        x, step = cls.strides(each, j.astype(np.uint64))
         for i in range(PROBES):
-            bits[cls.places(each, j, i, size)] = True
+            bits[cls.place(x, step, i, size)] = True
         return np.packbits(bits, bitorder="little")
 
     @classmethod
@@ -86,20 +91,24 @@ class Filter:
         size = np.array([8 * len(p) for p in parts], np.uint64)
         return cls(np.concatenate(parts), np.cumsum(size) - size, size)
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: probes (n-gram, 1), (n-gram, 2), ... until one misses."""
+    def levels(self, h: np.ndarray, segment_hash: np.ndarray | None = None) -> np.ndarray:
+        """The level of each n-gram: probes (n-gram, 1), (n-gram, 2), ... until one misses; segment_hash chooses the segments."""
+        seg = ((h if segment_hash is None else segment_hash) % np.uint64(len(self.size))).astype(np.int64)
+        few = range(0, len(h), PROBED)  # so many at a time that they stay in a core's cache
+        return np.concatenate([np.zeros(0, np.int64), *(self._levels(h[i : i + PROBED], seg[i : i + PROBED]) for i in few)])
+
+    def _levels(self, h: np.ndarray, seg: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
-        live, j = np.arange(len(h)), 1
+        live, first, size, j = np.arange(len(h)), self.first[seg], self.size[seg], 1
         while len(live):
-            own = h[live]
-            seg = (own % np.uint64(len(self.size))).astype(np.int64)
-            first, size = self.first[seg], self.size[seg]
+            x, step = self.strides(h, np.full(1, j, np.uint64))
+            hit = np.ones(len(h), bool)
             for i in range(PROBES):
-                at = first + self.places(own, np.full(len(own), j), i, size)
-                hit = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                live, own, first, size = live[hit], own[hit], first[hit], size[hit]
-                if not len(live):
-                    break
+                at = first + self.place(x, step, i, size)
+                hit &= ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                if i == PROBES - 1 or np.count_nonzero(hit) < 0.75 * len(hit):
+                    live, h, first, size, x, step = (v[hit] for v in (live, h, first, size, x, step))
+                    hit = np.ones(len(h), bool)
             out[live] = j
             j += 1
         return out
@@ -152,6 +161,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = Batch.of(part)
             count = np.bincount(x.codes, minlength=len(x.words))
             yield pa.record_batch({"token": x.words.cast(pa.string()), "n": pa.array(count)})
+        give_back()
 
 
 def _count_pairs(texts: Iterator[pa.Array], word_levels: Callable[[np.ndarray], np.ndarray], segments: int) -> Iterator[pa.RecordBatch]:
@@ -172,6 +182,7 @@ def _count_pairs(texts: Iterator[pa.Array], word_levels: Callable[[np.ndarray],
             each, cuts = each[order], np.searchsorted(seg[order], np.arange(segments + 1))
             have = np.flatnonzero(np.diff(cuts))
             yield pa.record_batch({"seg": pa.array(have), "rows": pa.array([each[cuts[s] : cuts[s + 1]].tobytes() for s in have], pa.binary())})
+        give_back()
 
 
 #: Cells of the leave-one-out counts: level of the first word, of the second, and the pair's level.
@@ -367,6 +378,7 @@ def score_corpus(docs: DataFrame, held_out_part: int = 2, of: int = 7, broadcast
                     found = SegmentedPairs(own.pairs, segments).levels(pairs)
                     scores = own.token_scores(x, own.words.levels(x.hashes), found[places])
                     yield from rows_of(x, b.column(2).slice(at, len(part)), b.column(0).slice(at, len(part)), _text_scores(x, scores))
+                give_back()
 
         scored = rows.select("doc_id", "text", "row_key").mapInArrow(run, out)
     else:
@@ -393,25 +405,7 @@ class SegmentedPairs:
     segments: int
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        seg = (h % np.uint64(self.segments)).astype(np.int64)
-        own = stored(h >> np.uint64(24))
-        return _levels_in(self.pairs, own, self.pairs.first[seg], self.pairs.size[seg])
-
-
-def _levels_in(f: Filter, h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(h), np.int64)
-    live, j = np.arange(len(h)), 1
-    while len(live):
-        own, a, m = h[live], first[live], size[live]
-        for i in range(PROBES):
-            at = a + f.places(own, np.full(len(own), j), i, m)
-            hit = (f.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            live, own, a, m = live[hit], own[hit], a[hit], m[hit]
-            if not len(live):
-                break
-        out[live] = j
-        j += 1
-    return out
+        return self.pairs.levels(stored(h >> np.uint64(24)), h)
 
 
 def _texts_of(table: pa.Table) -> Iterator[tuple[int, int, Batch]]:
