@@ -186,7 +186,7 @@ def _count_pairs(texts: Iterator[pa.Array], word_levels: Callable[[np.ndarray],
 
 
 #: Cells of the leave-one-out counts: level of the first word, of the second, and the pair's level.
-PAIR_LEVELS = 24
+PAIR_LEVELS = 256
 
 
 def _pair_segment(key, table):
@@ -195,7 +195,7 @@ def _pair_segment(key, table):
     first = np.flatnonzero(np.concatenate([[True], ngram[1:] != ngram[:-1]]))
     ngram, count = ngram[first], np.add.reduceat(count, first)
     level = level_of(count)
-    cell = ((ngram & np.uint64(0xFFFF)).astype(np.int64)) * PAIR_LEVELS + np.minimum(level, PAIR_LEVELS - 1)
+    cell = ((ngram & np.uint64(0xFFFF)).astype(np.int64)) * PAIR_LEVELS + level
     cells, own = np.unique(cell, return_inverse=True)
     return pa.table(
         {

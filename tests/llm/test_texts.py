@@ -274,6 +274,20 @@ def test_log_frequency_filter():
     assert (lm.floor_of(lm.level_of(counts)) <= counts).all() and (lm.ceiling_of(lm.level_of(counts)) >= counts).all()
 
 
+def test_backoff_of_frequent_words():
+    # the same follower shares at every size: the weight of p1 must not grow with the counts
+    found = []
+    for total in (10**5, 10**7, 10**9):
+        count = total // 1000
+        top = np.uint64(int(lm.level_of(np.array([total]))[0]) << 16 | int(lm.level_of(np.array([count]))[0]) << 8)
+        rows = [np.uint64(i + 1) << np.uint64(24) | top | np.uint64(n) for i in range(3) for n in [255] * (count // 255) + [count % 255]]
+        part = lm._pair_segment((pa.scalar(0),), pa.table({"rows": pa.array([np.array(rows, np.uint64).tobytes()], pa.binary())}))
+        cells = dict(zip(part.column("cells")[0].as_py(), part.column("tokens")[0].as_py()))
+        assert sum(cells.values()) == 3 * count
+        found.append(lm.fit_backoff(cells, lambda w: np.full(len(w), 1e-4))[int(top) >> 16])
+    assert found == [pytest.approx(0.05)] * 3
+
+
 def test_language_model_of_nothing(odd):
     assert lm.score_corpus(odd.limit(0)).count() == 0
 
