@@ -6,6 +6,7 @@ Every stage but the last returns the columns of documents, in rows that it kept,
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlpit.llm import bpe, mixing, quality, simhash, substring
 from marlpit.llm.text import materialize
@@ -32,8 +33,16 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256) in the order of docs."""
-    return bpe.encode(docs)
+    """(doc_id, n_tokens, ids, ids_sha256, slot, position): position counts the rows in mixed order from 0.
+
+    Files are read again in any order, so the place of a row goes along as columns. It follows from the rows alone: the
+    mix of docs here is the one that source_mixing wrote.
+    """
+    row = F.struct("doc_id", "source", F.xxhash64("doc_id", "text").alias("row_key"))
+    encoded = bpe.encode(docs.select(row.alias("row"), "text"), id_col="row").select("row.*", "n_tokens", "ids", "ids_sha256")
+    encoded = materialize(encoded.withColumn("tie", F.monotonically_increasing_id()), "pipeline-encoded")
+    places = mixing.places(encoded.select("doc_id", "source", "row_key", "tie")).select("tie", "slot", "position")
+    return encoded.join(places, "tie").select("doc_id", "n_tokens", "ids", "ids_sha256", "slot", "position")
 
 
 STAGES = [

@@ -74,9 +74,13 @@ def target_weights(counts: dict, weights: dict | None = None, power: float = POW
 
 def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """(doc_id, source, row_key, block, slot, position): where every row comes; position counts rows from 0, without gaps."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("row_key"))
-    rows = materialize(rows.withColumn("tie", F.monotonically_increasing_id()), "mixing")
+    return places(materialize(rows.withColumn("tie", F.monotonically_increasing_id()), "mixing"), weights, block_rows, max_blocks).drop("tie")
+
+
+def places(rows: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """mix of rows (doc_id, source, row_key, tie) that are written already, with their tie: a number of each row."""
+    spark = rows.sparkSession
     counts = {r.source: r["count"] for r in rows.groupBy("source").count().collect()}  # a row per source
     total = sum(counts.values())
     block_rows = max(block_rows, -(-total // max_blocks))
@@ -96,9 +100,9 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     rows = rows.withColumn("place", F.row_number().over(own) - 1)
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("place", F.col("place") + F.col("start"))
     rows = rows.withColumn("block", F.expr(f"place div {block_rows}")).drop("s", "b", "start", "bucket")
-    slots = spark.createDataFrame(table, f"s {docs.schema['source'].dataType.simpleString()}, b long, slot long, first long")
+    slots = spark.createDataFrame(table, f"s {rows.schema['source'].dataType.simpleString()}, b long, slot long, first long")
     rows = rows.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    return rows.select("doc_id", "source", "row_key", "block", "slot", (F.col("first") + F.expr(f"place % {block_rows}")).alias("position"))
+    return rows.select("doc_id", "source", "row_key", "tie", "block", "slot", (F.col("first") + F.expr(f"place % {block_rows}")).alias("position"))
 
 
 def in_order(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
