@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _sum(xs: Column) -> Column:
@@ -57,3 +58,36 @@ def nearest_by_hash(df: DataFrame, query: list[float], k: int, bucket: float = 2
     rows = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
     model = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
     return model.approxNearestNeighbors(rows, Vectors.dense(query), k, distCol="distance").drop("__v", "__h")
+
+
+def _k_best(pairs: DataFrame, k: int) -> DataFrame:
+    # each task keeps k of its rows for a query, then the best of those
+    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
+    return best.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def nearest_all(rows: DataFrame, queries: DataFrame, k: int, metric=l2) -> DataFrame:
+    """(query_id, vec_id, distance, rank): the k rows nearest to every query, both (vec_id, embedding). Without a distance: no row."""
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"))
+    pairs = rows.crossJoin(asked).select("query_id", "vec_id", metric(F.col("embedding"), F.col("__q")).alias("distance"))
+    return _k_best(pairs.where(F.col("distance").isNotNull()), k)
+
+
+def nearest_all_by_hash(rows: DataFrame, queries: DataFrame, k: int, bucket: float = 2.0, tables: int = 8, seed: int = 11) -> DataFrame:
+    """nearest_all by l2, approximately: exact distances of the pairs that share a random projection bucket in some table.
+
+    Every pair's buckets are compared. A query that finds fewer than k rows so is answered exactly.
+    """
+    from random import Random
+
+    first = rows.where(F.size("embedding") > 0).select(F.size("embedding")).first()  # one row: the dimension
+    draw = Random(seed)
+    planes = [[draw.gauss(0, 1) for _ in range(first[0] if first else 0)] for _ in range(tables)]
+    hashes = lambda v: F.array(*(F.floor(dot(v, F.array(*map(F.lit, p))) / bucket) for p in planes))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"), hashes(F.col("embedding")).alias("__h"))
+    own = rows.select("vec_id", "embedding", hashes(F.col("embedding")).alias("__own"))
+    near = own.crossJoin(asked).where(F.exists(F.zip_with("__own", "__h", lambda a, b: a == b), lambda x: x))
+    pairs = near.select("query_id", "vec_id", l2(F.col("embedding"), F.col("__q")).alias("distance"))
+    found = _k_best(pairs.where(F.col("distance").isNotNull()), k)
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(nearest_all(rows, queries.join(full, "vec_id", "left_anti"), k))

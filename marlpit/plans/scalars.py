@@ -245,6 +245,22 @@ _distances("vec_cosine_topk", vectors.cosine, "list_cosine_distance(CAST(embeddi
 _distances("vec_ip_topk", vectors.inner_product_distance, "-list_inner_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))")
 
 
+def _asked(rows):
+    return rows.where(F.col("vec_id") % 50 == 0)
+
+
+def _all_distances(name: str, metric, oracle: str):
+    @frame(name, f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {oracle}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 20")
+    def _(t, spark):
+        rows = t("embeddings")
+        return vectors.nearest_all(rows, _asked(rows), 20, metric).select("query_id", "vec_id", "rank")
+
+
+_all_distances("vec_l2_topk_all", vectors.l2, "list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))")
+_all_distances("vec_cosine_topk_all", vectors.cosine, "list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))")
+_all_distances("vec_ip_topk_all", vectors.inner_product_distance, "-list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))")
+
+
 @frame("vec_dims_from_text", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
 def _(t, spark):
     text = F.to_json(F.col("embedding"))
@@ -254,4 +270,4 @@ def _(t, spark):
 @frame("vec_lsh", None)
 def _(t, spark):
     rows = t("embeddings")
-    return vectors.nearest_by_hash(rows, list(map(float, _first_vector(rows))), 10).select("vec_id", "distance")
+    return vectors.nearest_all_by_hash(rows, _asked(rows), 10).select("query_id", "vec_id", "distance")
