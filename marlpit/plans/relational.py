@@ -228,6 +228,7 @@ def _(t, spark):
 # --- sort and limit ---
 
 sql("order_nulls", "SELECT l_orderkey, l_linenumber, nullif(l_linenumber, 2) AS k FROM {lineitem} ORDER BY k DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 500")
+sql("order_nulls_all", "SELECT l_orderkey, l_linenumber, nullif(l_linenumber, 2) AS k FROM {lineitem} ORDER BY k DESC NULLS LAST, l_orderkey, l_linenumber")
 sql("top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 sql("limit_offset", "SELECT c_custkey, c_name FROM {customer} ORDER BY c_custkey LIMIT 20 OFFSET 40")
 sql("fetch_first", "SELECT p_partkey FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 10", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey FETCH FIRST 10 ROWS ONLY")
@@ -238,6 +239,11 @@ def _(t, spark):
     return t("part").select("p_partkey", "p_name").orderBy(strings.ascii_lower(F.col("p_name")), "p_partkey").limit(30)
 
 
+@frame("order_collate_nocase_all", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey")
+def _(t, spark):
+    return t("part").select("p_partkey", "p_name").orderBy(strings.ascii_lower(F.col("p_name")), "p_partkey")
+
+
 # --- set operations and CTEs ---
 
 sql("union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}")
