@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlpit.llm import bpe, mixing
+from test_texts import simhash_by_hand, substrings_by_hand, texts_of
 
 
 def test_mixed_order_survives_files(spark, sf_dir, tmp_path, monkeypatch):
@@ -34,3 +35,18 @@ def test_mixed_order_survives_files(spark, sf_dir, tmp_path, monkeypatch):
     assert [(r.doc_id, r.slot) for r in got] == wanted
     ids = {r.doc_id: (r.n_tokens, r.ids, r.ids_sha256) for r in bpe.encode(mixed).collect()}
     assert all((r.n_tokens, r.ids, r.ids_sha256) == ids[r.doc_id] for r in got)
+
+
+def test_rows_by_hand(spark, sf_dir, monkeypatch):
+    written = {}
+    inner = corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: written.setdefault(name, inner(df, name)))
+    found = sorted((r.doc_id, r.n_tokens, r.ids) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    first = texts_of(written["pipeline-quality_classifier"])
+    one = {d for d, _, low in simhash_by_hand(first) if d == low}
+    left = [(d, t) for d, t in first if d in one]
+    cut = {d: text for d, _, gone, text in substrings_by_hand(left) if gone}
+    assert len(left) < len(first) and cut
+    tokenizer = bpe.load(bpe.default_path())
+    ids = {d: tokenizer.encode(cut.get(d, t), add_special_tokens=False).ids for d, t in left}
+    assert found == sorted((d, len(i), i) for d, i in ids.items())
