@@ -1,10 +1,15 @@
-"""BPE encoding and decoding of whole texts with a given tokenizer file.
+"""BPE encoding and decoding of whole texts with a given tokenizer file, by tree concatenation.
 
-Words (runs without ASCII white space) are hard boundaries of the tokenizer, so a text's ids are its words' ids in
-order: a batch encodes each distinct word once and lays the ids out with numpy. A word longer than `leaf` code
-points is unsplit text: it is cut in leaves, the leaves are encoded side by side, and neighbours are joined up a
-tree. At each join a window around it is encoded again, and grows until it agrees with both sides on whole
-tokens; what lies between the agreed tokens replaces the two ends.
+A text longer than `leaf` code points is halved until its parts are no longer than that, wherever the cuts fall. The
+leaves of all texts of a slice are encoded together, by as many threads as the task has cores. Neighbours are then
+joined up the tree, all joins of a level side by side: a window around the join is encoded again, and grows until it
+agrees with both sides on whole tokens; what lies between the agreed tokens replaces the two ends. Two tokens that
+BPE puts side by side stay so whatever else is around them, so a text made of agreeing pieces is encoded as a whole
+one would be. n_joins counts the joins: one less than the leaves.
+
+Within leaves, a file whose white space parts words and is dropped (found by trying) has each distinct word of the
+slice encoded once; leaves of other files are encoded as they are. Files whose pieces depend on a text's ends (added
+prefix spaces, stripping, dropout, models other than BPE) are refused.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated results; an empty
 table gives an empty one; other columns are not read.
@@ -14,19 +19,24 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from marlpit.llm.text import encode_words, ranges, slices, split_words
 
-#: Code points of a leaf of unsplit text; bytes of text and distinct words worked on at once.
-LEAF, STEP_BYTES, BATCH_WORDS = 2048, 8 << 20, 10_000
+#: Most code points of a leaf; bytes of text in a slice; words, and longer texts, handed to the library at once (its
+#: results are large); tokens of a window's sides at first.
+LEAF, STEP_BYTES, WORDS, TEXTS, WINDOW = 2048, 8 << 20, 10_000, 500, 8
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 Token = tuple[int, int, int]
 
@@ -40,119 +50,240 @@ def default_path() -> str:
 @functools.lru_cache(maxsize=2)
 def load(path: str):
     """The tokenizer, without truncation and padding; one per worker process."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    context = TaskContext.get()
+    cores = context.cpus() if context else 1
+    os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = str(cores > 1).lower(), str(cores)
     from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as f:
+        check(json.load(f))
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
     return found
 
 
-def joined(text: str, left: list[Token], right: list[Token], bounds: tuple[int, int, int], encode: Callable[[str], list[Token]], reach: int = 0) -> list[Token]:
-    """Tokens of left + right as if encoded together; bounds: where left begins, both meet, and right ends.
+def check(settings: dict) -> None:
+    """Raise for tokenizers whose tokens in the middle of a text depend on where the text begins or ends."""
+    model = settings["model"]
+    steps = [x for k in ("normalizer", "pre_tokenizer") for x in _steps(settings.get(k))]
+    bad = [x["type"] for x in steps if x["type"] in ("Prepend", "Strip", "StripAccents", "Metaspace", "BertNormalizer", "Precompiled") or x.get("add_prefix_space")]
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("fuse_unk") or bad:
+        raise ValueError(f"parts of a text can't be joined under this tokenizer: {bad or model.get('type')}")
+
+
+def _steps(x: dict | None) -> list[dict]:
+    if not x:
+        return []
+    inner = x.get("normalizers") or x.get("pretokenizers")
+    return [y for z in inner for y in _steps(z)] if inner else [x]
+
+
+@functools.lru_cache(maxsize=2)
+def parted_by_white_space(path: str) -> bool:
+    """Whether white space always parts words and leaves no token, tried between all kinds of neighbours."""
+    tokenizer = load(path)
+    if any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    sides = ["a", "Z", "é", "5", "!", "'", "s", "´", "中", "ا", "́", "\x00", " "]
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    alone = {s: ids(s) for s in sides}
+    gaps = [*" \t\n\x0b\x0c\r", "  ", "\r\n"]
+    return all(ids(a + g + b) == alone[a] + alone[b] for a, g, b in itertools.product(sides, gaps, sides))
+
+
+def cuts(length: int, leaf: int) -> list[int]:
+    """Bounds of the leaves of a text: halves of halves, none longer than leaf."""
+    n = 1
+    while length > n * leaf:
+        n *= 2
+    return [length * i // n for i in range(n + 1)]
+
+
+class Tokens:
+    """Tokens of a stretch of text: ids, and each one's first code point and end in the text."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray):
+        self.ids, self.first, self.end = ids, first, end
+
+    def __len__(self) -> int:
+        return len(self.ids)
 
-    Agreement counts only beyond `reach` code points from the cut: the length of the longest added token.
+    def part(self, a: int, b: int) -> Tokens:
+        return Tokens(self.ids[a:b], self.first[a:b], self.end[a:b])
+
+    def rows(self, a: int, b: int) -> list[Token]:
+        return list(zip(self.ids[a:b].tolist(), self.first[a:b].tolist(), self.end[a:b].tolist()))
+
+    @staticmethod
+    def of(rows: list[Token]) -> Tokens:
+        return Tokens(*(np.array(c, np.int32) for c in (zip(*rows) if rows else ((), (), ()))))
+
+    @staticmethod
+    def concat(parts: list[Tokens]) -> Tokens:
+        return Tokens(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("ids", "first", "end")))
+
+
+def seam(left: Tokens, right: Tokens, low: int, cut: int, high: int, reach: int = 0) -> Generator[tuple[int, int], list[Token], Tokens]:
+    """Tokens of left + right as if encoded together. Yields (first, end) of text to encode, is sent its tokens.
+
+    low, cut, high: where left begins, both meet, and right ends. Agreement is on two tokens in a row, the first of
+    which begins a code point, and counts only beyond `reach` code points from the cut (the longest added token).
     """
-    if not left or not right:
-        return left or right
-    low, cut, high = bounds
-    size = 8
+    if not len(left) or not len(right):
+        return left if len(left) else right
+    size = WINDOW
     while True:
         whole_left, whole_right = size >= len(left), size >= len(right)
-        start = low if whole_left else left[-size][1]
-        end = high if whole_right else right[size][1]  # where the next token begins: a composed mark belongs to the one before
-        window = [(i, a + start, b + start) for i, a, b in encode(text[start:end])]
-        cut_left = (0, 0) if whole_left else agreed(left, len(left) - size, cut - reach, window, len(window) - 1)
-        cut_right = None
+        start = low if whole_left else int(left.first[len(left) - size])
+        end = high if whole_right else int(right.first[size])  # where the next token begins: a composed mark belongs to the one before
+        window = yield start, end
+        spots = {t: k for k, t in reversed(list(enumerate(window[:-1]))) if not k or t[1] >= window[k - 1][2]}
+        keep = (0, 0) if whole_left else None
+        if not whole_left:
+            from_, own = len(left) - size, left.rows(len(left) - size, len(left))
+            for i in range(1, size - 1):
+                k = spots.get(own[i])
+                if k is not None and own[i][1] >= own[i - 1][2] and own[i + 1][2] <= cut - reach and k + 1 < len(window) - 1 and window[k + 1] == own[i + 1]:
+                    keep = from_ + i, k
+                    break
+        back = None
         if whole_right:
-            cut_right = (len(right), len(window))
-        elif cut_left:
+            back = len(right), len(window)
+        elif keep:
             # the window's last tokens may be those of a cut word: they don't count
-            spots = {t: k for k, t in reversed(list(enumerate(window[:-1])))}
-            for r in range(size - 1):
-                k = spots.get(right[r])
-                if k is not None and right[r][1] >= cut + reach and k > cut_left[1] and k + 1 < len(window) - 1 and window[k + 1] == right[r + 1]:
-                    cut_right = (r, k)
+            own = right.rows(0, size)
+            for r in range(1, size - 1):
+                k = spots.get(own[r])
+                if k is not None and own[r][1] >= max(cut + reach, own[r - 1][2]) and k > keep[1] and k + 1 < len(window) - 1 and window[k + 1] == own[r + 1]:
+                    back = r, k
                     break
-        if cut_left and cut_right:
-            return left[: cut_left[0]] + window[cut_left[1] : cut_right[1]] + right[cut_right[0] :]
+        if keep and back:
+            return Tokens.concat([left.part(0, keep[0]), Tokens.of(window[keep[1] : back[1]]), right.part(back[0], len(right))])
         size *= 2
 
 
-def agreed(left: list[Token], first: int, before: int, window: list[Token], high: int) -> tuple[int, int] | None:
-    """Where two tokens of left in a row, ending at `before` at most, are two of the window: (index in left, in window)."""
-    spots = {t: k for k, t in reversed(list(enumerate(window[:high])))}
-    for i in range(first, len(left) - 2):
-        k = spots.get(left[i])
-        if k is not None and left[i + 1][2] <= before and k + 1 < high and window[k + 1] == left[i + 1]:
-            return i, k
-    return None
-
-
-def tree_encode(text: str, encode_batch: Callable[[list[str]], list[list[Token]]], leaf: int = LEAF, reach: int = 0) -> list[int]:
-    """Ids of unsplit text by tree concatenation; encode_batch gives (id, first, end) of each text's tokens."""
-    starts = list(range(0, len(text), leaf))
-    parts = encode_batch([text[a : a + leaf] for a in starts])
-    parts = [[(i, a + s, b + s) for i, a, b in p] for s, p in zip(starts, parts)]
-    while len(parts) > 1:
-        parts = [joined(text, *parts[i : i + 2], (starts[i], starts[i + 1], [*starts, len(text)][i + 2]), lambda t: encode_batch([t])[0], reach) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        starts = starts[::2]
-    return [t[0] for t in parts[0]] if parts else []
-
-
-def word_ids(words: pa.Array, path: str, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words, flat, and how many each has."""
+def tree_join(texts: list[str], bounds: list[list[int]], leaves: list[Tokens], encode: Callable[[list[str]], list[list[Token]]], reach: int = 0) -> list[Tokens]:
+    """Tokens of each text from those of its leaves (which lie in order, with places in the whole text)."""
+    at, parts = 0, []
+    for b in bounds:
+        parts.append(leaves[at : at + len(b) - 1])
+        at += len(b) - 1
+    edges = [list(b) for b in bounds]
+    while any(len(p) > 1 for p in parts):
+        # all joins of a level, of all texts, go on side by side: one call of the library for each round of windows
+        running, done = [], {}
+
+        def step(key, text, job, sent):
+            try:
+                a, b = job.send(sent)
+                return key, text, job, a, b
+            except StopIteration as e:
+                done[key] = e.value
+
+        for n, (p, e) in enumerate(zip(parts, edges)):
+            for i in range(0, len(p) - 1, 2):
+                running.append(step((n, i), texts[n], seam(p[i], p[i + 1], e[i], e[i + 1], e[i + 2], reach), None))
+        running = [x for x in running if x]
+        while running:
+            found = encode([text[a:b] for _, text, _, a, b in running])
+            moved = [step(key, text, job, [(i, x + a, y + a) for i, x, y in own]) for (key, text, job, a, _), own in zip(running, found)]
+            running = [x for x in moved if x]
+        parts = [[done[n, i] for i in range(0, len(p) - 1, 2)] if len(p) > 1 else p for n, p in enumerate(parts)]
+        edges = [e[::2] if len(e) > 2 else e for e in edges]
+    return [p[0] for p in parts]
+
+
+def _spans(tokenizer, texts: list[str]) -> list[list[Token]]:
+    out = []
+    for at in range(0, len(texts), TEXTS):
+        out += [[(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)] for e in tokenizer.encode_batch(texts[at : at + TEXTS], add_special_tokens=False)]
+    return out
+
+
+def _arrays(tokenizer, texts: list[str], few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, first code points and ends of all texts' tokens, flat, and how many each text has."""
+    ids, spans, size = [], [], []
+    for at in range(0, len(texts), few):
+        own = tokenizer.encode_batch(texts[at : at + few], add_special_tokens=False)
+        lists = [e.ids for e in own]
+        size.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        n = int(size[-1].sum())
+        ids.append(np.fromiter(itertools.chain.from_iterable(lists), np.int32, n))
+        spans.append(np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(e.offsets for e in own)), np.int32, 2 * n).reshape(-1, 2))
+    flat = np.concatenate([np.zeros((0, 2), np.int32), *spans])
+    return np.concatenate([np.zeros(0, np.int32), *ids]), flat[:, 0], flat[:, 1], np.concatenate([np.zeros(0, np.int64), *size])
+
+
+def _word_places(texts: pa.Array) -> np.ndarray:
+    """The code point at which each word of a string array begins in its text."""
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    word = ~WHITE[raw]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    edges = off[:-1][off[:-1] < len(raw)]
+    begins[edges] = word[edges]
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    at = np.flatnonzero(begins)
+    own = np.searchsorted(off, at, side="right") - 1
+    return points[at] - points[off[own]]
+
+
+def leaf_tokens(leaves: list[str], path: str) -> tuple[Tokens, np.ndarray]:
+    """Tokens of all leaves, with places in their own leaf, and the leaves' offsets into them."""
     tokenizer = load(path)
+    if not parted_by_white_space(path):
+        ids, first, end, size = _arrays(tokenizer, leaves, TEXTS)
+        return Tokens(ids, first, end), np.concatenate([[0], np.cumsum(size)])
+    array = pa.array(leaves, pa.large_string())
+    flat, off = split_words(array)
+    codes, words = encode_words(flat)
+    ids, first, end, size = _arrays(tokenizer, words.to_pylist(), WORDS)
+    counts = size[codes] if len(codes) else np.zeros(0, np.int64)
+    take = ranges((np.cumsum(size) - size)[codes] if len(codes) else counts, counts)
+    place = np.repeat(_word_places(array), counts).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return Tokens(ids[take], first[take] + place, end[take] + place), ends[off]
+
+
+def tree_encode(texts: list[str], path: str, leaf: int = LEAF) -> tuple[list[Tokens], np.ndarray]:
+    """Tokens of each text by tree concatenation, and the number of its joins."""
+    tokenizer = load(path)
+    reach = max((len(t.content) for t in tokenizer.get_added_tokens_decoder().values()), default=0)
+    bounds = [cuts(len(t), leaf) for t in texts]
+    all_, off = leaf_tokens([t[a:b] for t, e in zip(texts, bounds) for a, b in zip(e, e[1:])], path)
+    starts = [a for e in bounds for a in e[:-1]]
+    moved = [Tokens(p.ids, p.first + a, p.end + a) if a else p for a, p in zip(starts, (all_.part(x, y) for x, y in zip(off[:-1].tolist(), off[1:].tolist())))]
+    found = tree_join(texts, bounds, moved, lambda few: _spans(tokenizer, few), reach)
+    return found, np.array([len(e) - 2 for e in bounds], np.int64)
 
-    def spans(texts: list[str]) -> list[list[Token]]:
-        return [[(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    texts = words.to_pylist()
-    long = np.flatnonzero(np.asarray(pc.utf8_length(words)) > leaf)
-    reach = max((len(t.content) for t in tokenizer.get_added_tokens_decoder().values()), default=0)
-    whole = {int(i): tree_encode(texts[i], spans, leaf, reach) for i in long}
-    for i in whole:
-        texts[i] = ""
-    parts, size = [], np.zeros(len(texts), np.int64)
-    for at in range(0, len(texts), BATCH_WORDS):  # few at a time: the library's results are large
-        own = [e.ids for e in tokenizer.encode_batch_fast(texts[at : at + BATCH_WORDS], add_special_tokens=False)]
-        for i in whole.keys() & range(at, at + len(own)):
-            own[i - at] = whole[i]
-        size[at : at + len(own)] = np.fromiter(map(len, own), np.int64, len(own))
-        parts.append(np.fromiter((x for ids in own for x in ids), np.int32))
-    return np.concatenate([np.zeros(0, np.int32), *parts]), size
-
-
-def encode_texts(texts: pa.Array, path: str, leaf: int = LEAF) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, ids, offsets of each row's ids) of pieces of a string array."""
+def encode_texts(texts: pa.Array, path: str, leaf: int = LEAF) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, ids, offsets of each row's ids, joins of each row) of slices of a string array."""
     for at, part in slices(texts, STEP_BYTES):
-        flat, off = split_words(part)
-        codes, words = encode_words(flat)
-        table, size = word_ids(words, path, leaf)
-        first = np.cumsum(size) - size
-        counts = size[codes] if len(codes) else np.zeros(0, np.int64)
-        ids = table[ranges(first[codes] if len(codes) else counts, counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        yield at, ids, ends[off]
+        found, joins = tree_encode(part.to_pylist(), path, leaf)
+        off = np.concatenate([[0], np.cumsum([len(t) for t in found])]).astype(np.int64)
+        yield at, np.concatenate([np.zeros(0, np.int32), *(t.ids for t in found)]), off, joins
 
 
 def _encode(path: str, leaf: int, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for at, ids, off in encode_texts(x.column(1), path, leaf):
+            for at, ids, off, joins in encode_texts(x.column(1), path, leaf):
                 raw = ids.astype("<u4")
                 sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.record_batch({id_col: x.column(0).slice(at, len(off) - 1), "n_tokens": pa.array(np.diff(off)), "ids": lists, "ids_sha256": pa.array(sha, pa.string())})
+                yield pa.record_batch({id_col: x.column(0).slice(at, len(off) - 1), "n_tokens": pa.array(np.diff(off)), "ids": lists, "ids_sha256": pa.array(sha, pa.string()), "n_joins": pa.array(joins)})
 
     return run
 
 
 def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens long, ids array<int>, ids_sha256 of the ids as little-endian unsigned 32-bit integers)."""
+    """(id, n_tokens long, ids array<int>, ids_sha256 of the ids as little-endian unsigned 32-bit integers, n_joins long)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_encode(path or default_path(), leaf, id_col), f"{id_col} {kind}, n_tokens long, ids array<int>, ids_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(_encode(path or default_path(), leaf, id_col), f"{id_col} {kind}, n_tokens long, ids array<int>, ids_sha256 string, n_joins long")
 
 
 def token_strings(path: str) -> pa.Array:
@@ -189,14 +320,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded and decoded again, in one pass of a worker."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins): every text encoded and decoded again, in one pass of a worker."""
     path = path or default_path()
     there, back = _encode(path, leaf, "doc_id"), _decode(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in back(there(batches)):
-            sha = [hashlib.sha256(t).hexdigest() for t in x.column(4).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch({"doc_id": x.column(0), "n_tokens": x.column(1), "ids_sha256": x.column(3), "decoded_sha256": pa.array(sha, pa.string())})
+            sha = [hashlib.sha256(t).hexdigest() for t in x.column(5).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch({"doc_id": x.column(0), "n_tokens": x.column(1), "ids_sha256": x.column(3), "decoded_sha256": pa.array(sha, pa.string()), "n_joins": x.column(4)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long")

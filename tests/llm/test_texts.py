@@ -172,22 +172,68 @@ def test_bpe(table, request):
     for d, t in texts_of(docs):
         ids = tokenizer.encode(t, add_special_tokens=False).ids
         wanted.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
-    assert sorted(map(tuple, bpe.round_trip(docs).collect()), key=str) == sorted(wanted, key=str)
+    assert sorted(map(tuple, bpe.round_trip(docs).drop("n_joins").collect()), key=str) == sorted(wanted, key=str)
     apart = bpe.decode(bpe.encode(docs)).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256))
     assert sorted(map(tuple, apart.collect()), key=str) == sorted(wanted, key=str)
 
 
-def test_tree_concatenation():
-    tokenizer = bpe.load(bpe.default_path())
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tree_concatenation(name):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    tokenizer = bpe.load(path)
     rng = np.random.default_rng(2)
-    spans = lambda texts: [[(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    kinds = ["abcdefgh", "aA'sret!?", "é̂ñ12", "́e中文ا", "ΣσςİABab", "ababab"]
+    kinds = ["abcdefgh", "aA'sret!?", "é̂ñ12", "́e中文ا", "ΣσςİABab", "ababab", " \t\nab'", "  　\xa0a!1", "🙂🙃👍🏽 x", "𝒳\x00\x1c b"]
+    texts = ["", "a"]
     for n in range(400):
         letters = "".join(rng.choice(kinds, 3))
         text = "".join(rng.choice(list(letters), rng.integers(1, 300)))
-        if n % 3 == 0:
-            text = text[:40] + "<|endoftext|>" + text[40:]
-        assert bpe.tree_encode(text, spans, int(rng.choice([5, 16, 40])), 15) == tokenizer.encode(text, add_special_tokens=False).ids
+        texts.append(text[:40] + "<|endoftext|>" + text[40:] if n % 3 == 0 else text)
+    for leaf in (5, 16, 40):
+        found, joins = bpe.tree_encode(texts, path, leaf)
+        assert all(t.ids.tolist() == tokenizer.encode(x, add_special_tokens=False).ids for t, x in zip(found, texts))
+        assert all((j > 0) == (len(x) > leaf) for j, x in zip(joins, texts))
+
+
+def test_a_megabyte_without_white_space():
+    rng = np.random.default_rng(6)
+    path = bpe.default_path()
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz'!09é"), 1_000_000)), "ab" * 500_000, "?" * 1_000_000]
+    for text in texts:
+        found, joins = bpe.tree_encode([text], path)
+        assert found[0].ids.tolist() == bpe.load(path).encode(text, add_special_tokens=False).ids and joins[0] == 511
+
+
+def test_joins_carry_the_result(real, monkeypatch):
+    """Without the windows around the joins the ids of texts above one leaf are wrong; n_joins counts them."""
+    rows = bpe.round_trip(real).collect()
+    long = {d for d, t in texts_of(real) if len(t) > bpe.LEAF}
+    assert long and {r.doc_id for r in rows if r.n_joins} == long
+    text = next(t for d, t in texts_of(real) if len(t) > bpe.LEAF)
+    right = bpe.tree_encode([text], bpe.default_path(), 64)[0][0].ids.tolist()
+
+    def bare(left, right, *_):
+        return bpe.Tokens.concat([left, right])
+        yield
+
+    monkeypatch.setattr(bpe, "seam", bare)
+    assert bpe.tree_encode([text], bpe.default_path(), 64)[0][0].ids.tolist() != right
+
+
+def test_bpe_refuses_and_empty(odd):
+    good = {"type": "BPE"}
+    bpe.check({"model": good, "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}})
+    for settings in (
+        {"model": {"type": "Unigram"}},
+        {"model": {"type": "BPE", "dropout": 0.1}},
+        {"model": good, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}},
+        {"model": good, "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Strip"}]}},
+        {"model": good, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Metaspace"}]}},
+    ):
+        with pytest.raises(ValueError):
+            bpe.check(settings)
+    assert bpe.round_trip(odd.limit(0)).count() == 0 and bpe.encode(odd.limit(0)).count() == 0
 
 
 # --- sketches ---
