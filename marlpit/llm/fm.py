@@ -1,7 +1,10 @@
 """A compressed FM-index over integer symbols: wavelet matrix of the Burrows-Wheeler transform, matching statistics.
 
 Suffixes are sorted by their first `depth` symbols, which is enough for backward search of patterns of up to `depth`
-symbols. Queries run in lockstep: one numpy step extends the matches of all of them by a symbol.
+symbols. Once built, an index holds the wavelet matrix (3/16 byte a symbol for each bit of the alphabet), a byte of
+common prefix a symbol, and for each distinct run of `depth` symbols, the smallest id of the texts that have it, found
+through a bit a symbol: some 12 bytes a symbol with 100,000 different ones. The suffix array, ranks and texts are
+dropped. Queries run in lockstep: one numpy step extends the matches of all of them by a symbol.
 """
 
 from __future__ import annotations
@@ -9,6 +12,24 @@ from __future__ import annotations
 import numpy as np
 
 
+class Bits:
+    """A packed bit row with rank."""
+
+    def __init__(self, bit: np.ndarray):
+        self.packed = np.packbits(np.concatenate([bit, np.zeros(64 + -len(bit) % 64, np.uint8)]), bitorder="little").view(np.uint64)
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.packed[:-1]), dtype=np.int64)]).astype(np.uint32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[word].astype(np.int64) + np.bitwise_count(self.packed[word] & below)
+
+    @property
+    def nbytes(self) -> int:
+        return self.packed.nbytes + self.ones.nbytes
+
+
 class WaveletMatrix:
     """Rank of any symbol in a sequence, a packed bit row per bit of the alphabet."""
 
@@ -17,18 +38,13 @@ class WaveletMatrix:
         s = symbols
         for level in range(bits - 1, -1, -1):
             bit = ((s >> level) & 1).astype(np.uint8)
-            packed = np.packbits(np.concatenate([bit, np.zeros(64 + -len(bit) % 64, np.uint8)]), bitorder="little").view(np.uint64)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed[:-1]), dtype=np.int64)])
-            zeros = len(bit) - int(bit.sum())
-            self.rows.append((level, packed, ones, zeros))
+            self.rows.append((level, Bits(bit), len(bit) - int(bit.sum())))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
         self.base = self.walk(np.arange(1 << bits), np.zeros(1 << bits, np.int64))
 
     def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for level, packed, ones, zeros in self.rows:
-            word = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            one = ones[word] + np.bitwise_count(packed[word] & below)
+        for level, row, zeros in self.rows:
+            one = row.rank(at)
             at = np.where((symbol >> level) & 1, zeros + one, at - one)
         return at
 
@@ -38,62 +54,77 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index over texts, each a run of positive symbols; matches never run over a text's end."""
+    """Index over texts, each a run of positive symbols with an id; matches never run over a text's end."""
 
-    def __init__(self, symbols: np.ndarray, offsets: np.ndarray, depth: int):
+    def __init__(self, symbols: np.ndarray, offsets: np.ndarray, depth: int, ids: np.ndarray | None = None):
         lengths = np.diff(offsets)
-        n = len(symbols) + len(lengths)
+        n = self.size = len(symbols) + len(lengths)
         text = np.zeros(n, np.int64)  # 0 ends each text
-        self.place = np.arange(len(symbols)) + np.repeat(np.arange(len(lengths)), lengths)
-        text[self.place] = symbols
-        self.owner = np.repeat(np.arange(len(lengths)), lengths + 1)
+        text[np.arange(len(symbols)) + np.repeat(np.arange(len(lengths)), lengths)] = symbols
         self.depth = depth
-        self.ranks = {1: np.unique(text, return_inverse=True)[1].astype(np.int64)}
+        ranks = {1: np.unique(text, return_inverse=True)[1].astype(np.int64)}
         have = 1
         while have < depth:
             step = min(have, depth - have)
-            self.ranks[have + step] = self._join(self.ranks[have], step)
+            ranks[have + step] = self._join(ranks[have], step)
             have += step
-        rank = self.ranks[depth]
-        self.sa = np.argsort(rank, kind="stable")
+        sa = np.argsort(ranks[depth], kind="stable")
         self.top = int(text.max()) + 1 if n else 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.top))])
-        self.bwt = WaveletMatrix(text[self.sa - 1], max(1, int(self.top - 1).bit_length()))
-        self.lcp = self._lcp()
-        self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _join(self, rank: np.ndarray, step: int) -> np.ndarray:
+        self.bwt = WaveletMatrix(text[sa - 1], max(1, int(self.top - 1).bit_length()))
+        self.lcp = self._lcp(sa, ranks)
+        owner = np.repeat(np.arange(len(lengths)), lengths + 1)
+        whole = np.zeros(n + depth, bool)  # suffixes of depth symbols or more: no end among them
+        ends = np.cumsum(lengths + 1) - 1
+        whole[np.arange(n)] = (ends[owner] - np.arange(n) >= depth) if n else False
+        head = (self.lcp[:-1] < depth) & whole[sa]
+        self.marks = Bits(head.astype(np.uint8))
+        ids = np.zeros(len(lengths), np.int64) if ids is None else ids
+        own = np.where(whole[sa], ids[owner[sa]], np.iinfo(np.int64).max) if n else np.zeros(0, np.int64)
+        firsts = np.flatnonzero(self.lcp[:-1] < depth)
+        least = np.minimum.reduceat(own, firsts) if n else own
+        self.least = least[head[firsts]] if n else least
+        self._heads: dict[int, np.ndarray] = {}
+
+    @property
+    def nbytes(self) -> int:
+        return sum(r.nbytes for _, r, _ in self.bwt.rows) + self.bwt.base.nbytes + self.lcp.nbytes + self.marks.nbytes + self.least.nbytes + self.before.nbytes
+
+    @staticmethod
+    def _join(rank: np.ndarray, step: int) -> np.ndarray:
         """Ranks by the symbols of rank and those of rank `step` further on."""
-        key = rank * (int(rank.max()) + 2)
+        key = rank * (int(rank.max(initial=0)) + 2)
         key[: len(key) - step] += rank[step:] + 1
         order = np.argsort(key)
         s = key[order]
         out = np.empty_like(rank)
-        out[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+        out[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])[: len(rank)]
         return out
 
-    def _lcp(self) -> np.ndarray:
+    def _lcp(self, sa: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarray:
         """Common prefix of each suffix in order with the one before it, up to depth; 0 at either end."""
-        n = len(self.sa)
-        out = np.zeros(n + 1, np.int64)
-        a, b = self.sa[:-1].copy(), self.sa[1:].copy()
+        n = len(sa)
+        out = np.zeros(n + 1, np.uint8 if self.depth < 256 else np.int64)
+        a, b = sa[:-1].copy(), sa[1:].copy()
         same = np.zeros(len(a), np.int64)
-        for h in sorted((h for h in self.ranks if h & (h - 1) == 0), reverse=True) * 2:
+        for h in sorted((h for h in ranks if h & (h - 1) == 0), reverse=True) * 2:
             inside = (a + h <= n) & (b + h <= n) & (same + h <= self.depth)
-            r = self.ranks[h]
+            r = ranks[h]
             hit = inside & (r[np.minimum(a, n - 1)] == r[np.minimum(b, n - 1)])
             a, b, same = a + h * hit, b + h * hit, same + h * hit
-        whole = self.ranks[self.depth]
-        out[1:n] = np.where(whole[self.sa[:-1]] == whole[self.sa[1:]], self.depth, same)
+        whole = ranks[self.depth]
+        out[1:n] = np.where(whole[sa[:-1]] == whole[sa[1:]], self.depth, same)
         return out
 
-    def bounds(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place in suffix order, first and end of the suffixes that share its first `length` symbols."""
-        if length not in self.classes:
-            first = np.flatnonzero(np.concatenate([[True], self.lcp[1:-1] < length]))
-            own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(self.sa))))
-            self.classes[length] = first[own], np.append(first[1:], len(self.sa))[own]
-        return self.classes[length]
+    def heads(self, length: int) -> np.ndarray:
+        """Places in suffix order where a new run of `length` symbols begins; kept while the index is searched."""
+        if length not in self._heads:
+            self._heads[length] = np.append(np.flatnonzero(self.lcp[:-1] < length), self.size).astype(np.int32)
+        return self._heads[length]
+
+    def smallest(self, first: np.ndarray) -> np.ndarray:
+        """The smallest id of the texts with the run of depth symbols whose suffix interval begins at each place."""
+        return self.least[self.marks.rank(first)]
 
     def matching_statistics(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each place of the queries: the length of the longest match that begins there (at most depth), and the
@@ -102,7 +133,7 @@ class FMIndex:
         out_len, out_lo = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
         order = np.argsort(-lengths, kind="stable")
         ends, lengths = offsets[1:][order], lengths[order]
-        n = len(self.sa)
+        n = self.size
         lo, hi, size = np.zeros(len(order), np.int64), np.full(len(order), n), np.zeros(len(order), np.int64)
         for t in range(int(lengths[0]) if len(lengths) else 0):
             m = int(np.searchsorted(-lengths, -t))  # queries that are longer than t
@@ -134,8 +165,9 @@ class FMIndex:
         for k in np.unique(length):
             own = rows[length == k]
             if k:
-                first, end = self.bounds(int(k))
-                lo[own], hi[own] = first[lo[own]], end[lo[own]]
+                heads = self.heads(int(k))
+                at = np.searchsorted(heads, lo[own].astype(np.int32), side="right")
+                lo[own], hi[own] = heads[at - 1], heads[at]
             else:
-                lo[own], hi[own] = 0, len(self.sa)
+                lo[own], hi[own] = 0, self.size
             size[own] = k

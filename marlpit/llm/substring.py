@@ -8,14 +8,15 @@ sequence also starts in a document with a smaller id; windows are judged on the
 2. A stretch of neighbouring windows with one shared anchor is a segment. Equal segments become one, with the smallest
    id, before they are shuffled. A shard holds the segments of some anchors, about SHARD_WORDS words. Anchors with
    more than HOT documents would make large shards: their windows become segments of their own, dealt by content.
-3. Each shard builds an FM-index (wavelet matrix over the Burrows-Wheeler transform) of its segments; the segments are
-   streamed through backward search, and where matching statistics reach the window's length, the suffix interval
-   names all places of that window, and so the smallest id that has it.
+3. Each shard builds FM-indexes (wavelet matrix over the Burrows-Wheeler transform) of segments of smaller ids, and
+   streams the segments of larger ids, which are not in them, through backward search: where matching statistics
+   reach the window's length, the suffix interval leads to the smallest id that has the window.
 4. Windows found in a smaller id go back to their documents as spans; covered words are left out.
 
 Null and empty texts have no words; texts shorter than the window keep all. Documents with equal ids don't count as
 smaller than each other; a null id is never smaller or larger than another, so such a document is kept whole and removes nothing.
-An empty table gives an empty result; other columns are not read.
+Ids must be whole numbers: other types raise TypeError. An empty table gives an empty result; other columns are not read,
+but for names that begin with __mp_, which are reserved.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from marlpit.llm.fm import FMIndex
-from marlpit.llm.text import encode_words, materialize, mix, ranges, slices, split_words, word_hashes
+from marlpit.llm.text import encode_words, hot_join, materialize, mix, ranges, slices, split_words, word_hashes
 
 WINDOW, ANCHOR, PIECE = 50, 16, 64
 #: Words of a shard; documents with an anchor beyond which its stretches alone would fill a shard (about 75 words each),
 #: and its windows are dealt one by one.
 SHARD_WORDS, HOT = 400_000, 5000
+NONE = np.iinfo(np.int64).max
 
 
 def anchors(h: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,30 +124,59 @@ def _segments(window: int):
     return run
 
 
-def _smallest_ids(window: int):
+def smallest_ids(symbols: np.ndarray, off: np.ndarray, key: np.ndarray, low: np.ndarray, copied: np.ndarray, window: int) -> np.ndarray:
+    """For each window of a shard's stretches, the smallest id of another document found to have it (or NONE), flat.
+
+    The stretches of each anchor are put in the order of their smallest ids and halved again and again: at each level
+    an index of the first halves is searched with the second halves. Stretches that several documents have are
+    indexed once more, for the first of these, and searched for the others.
+    """
+    size = np.diff(off)
+    windows = size - window + 1
+    first = np.cumsum(windows) - windows
+    out = np.full(int(windows.sum()), NONE)
+    order = np.lexsort((low, key))
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    heads = np.flatnonzero(new)
+    group = np.diff(np.append(heads, len(key)))
+    place, members = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    place[order], members[order] = np.arange(len(key)) - np.repeat(heads, group), np.repeat(group, group)
+    for level in range(max(1, int(group.max(initial=1) - 1).bit_length())):
+        block = place >> level
+        asked = (block & 1 == 1) | (copied if level == 0 else False)
+        indexed = ((block & 1 == 0) & ((block + 1) << level < members)) | (copied if level == 0 else False)
+        a, q = np.flatnonzero(indexed), np.flatnonzero(asked)
+        if not len(a) or not len(q):
+            continue
+        codes, own = np.unique(symbols[ranges(off[a], size[a])], return_inverse=True)
+        index = FMIndex(own + 1, np.concatenate([[0], np.cumsum(size[a])]), window, low[a])
+        text = symbols[ranges(off[q], size[q])]
+        at = np.minimum(np.searchsorted(codes, text), len(codes) - 1)
+        length, begin = index.matching_statistics(np.where(codes[at] == text, at + 1, -1), np.concatenate([[0], np.cumsum(size[q])]))
+        spot = ranges(np.cumsum(size[q]) - size[q], windows[q])
+        hit = length[spot] >= window  # intervals of suffixes above the threshold
+        to = ranges(first[q], windows[q])[hit]
+        out[to] = np.minimum(out[to], index.smallest(begin[spot[hit]]))
+    return out
+
+
+def _search(window: int):
     def run(table: pa.Table) -> pa.Table:
-        low = np.asarray(table.column("low").combine_chunks())
-        text = table.column("text").combine_chunks().cast(pa.large_string())
-        flat, off = split_words(text)
+        column = lambda name: np.asarray(table.column(name).combine_chunks())
+        flat, off = split_words(table.column("text").combine_chunks().cast(pa.large_string()))
         codes, _ = encode_words(flat)
-        index = FMIndex(codes + 1, off, window)
-        length, first = index.matching_statistics(codes + 1, off)
-        # all places of a window's suffix interval at once: the smallest id in each interval
-        start, _ = index.bounds(window)
-        heads = np.flatnonzero(start == np.arange(len(start)))
-        least = np.minimum.reduceat(low[index.owner[index.sa]], heads)
-        found = least[np.searchsorted(heads, first)]
-        count = np.diff(off) - window + 1
-        at = ranges(off[:-1], count)
-        assert (length[at] == window).all()
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(found[at]))
-        return pa.table({"seg": table.column("seg"), "lows": lists})
+        found = smallest_ids(codes, off, column("key"), column("low"), column("low") < column("high"), window)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(off) - window + 1)]), pa.int32()), pa.array(found))
+        return pa.table({"seg": table.column("seg"), "n": table.column("n"), "lows": lists})
 
     return run
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, starts array<long>): places of the windows that also start in a smaller id; ids without any are left out."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be a whole number")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     found = materialize(rows.mapInArrow(_anchor_rows(window), "id long, anchor long"), "anchors")
@@ -152,12 +184,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     hits = found.join(shared, "anchor").groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     kind = "id long, at long, seg binary, key long, words long, single boolean, text string"
     segments = materialize(rows.join(hits, "id").select("id", "text", "cold", "hot").mapInArrow(_segments(window), kind), "segments")
-    shards = 1 + int((segments.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS)
-    distinct = segments.groupBy("seg", "key", "text", "single").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    words, total = segments.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
+    distinct = segments.groupBy("seg", "key", "text", "single").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
     # a hot anchor's window that one id has alone is not repeated
-    dealt = distinct.where("not single or low < high").select("seg", "text", "low", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-    lows = dealt.groupBy("shard").applyInArrow(_smallest_ids(window), "seg binary, lows array<long>")
-    places = segments.select("id", "at", "seg").join(lows, "seg")
+    dealt = distinct.where("not single or low < high").select("seg", "text", "key", "low", "high", "n", F.pmod(F.xxhash64("key"), F.lit(1 + words // SHARD_WORDS)).alias("shard"))
+    lows = dealt.groupBy("shard").applyInArrow(_search(window), "seg binary, n long, lows array<long>")
+    lows = materialize(lows.where(F.array_min("lows") < int(NONE)), "lows")
+    places = hot_join(segments.select("id", "at", "seg"), lows, "seg", total)
     starts = F.transform(F.filter(F.sequence(F.lit(0), F.size("lows") - 1), lambda i: F.get("lows", i) < F.col("id")), lambda i: F.col("at") + i)
     places = places.select("id", starts.alias("starts")).where(F.size("starts") > 0)
     return places.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts")).select(F.col("id").alias(id_col), "starts")

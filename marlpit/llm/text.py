@@ -16,21 +16,28 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, so that memory in a task stays bounded.
 SLICE_BYTES = 2 << 20
+#: A key is hot when more than 1 in so many rows have it.
+HOT_SHARE = 1024
 #: Java and Python pattern of a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (spark.checkpoint.dir)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that driver and executors share (spark.checkpoint.dir); removed when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return path
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder is set only where none is configured."""
+    """spark.checkpoint.dir of the session; a local folder is set only where none is configured and all runs on one machine."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = held.get() if held.isDefined() else "/tmp/checkpoints/marlpit"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
@@ -45,6 +52,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
+    """big joined with small(key, n, ...) on key: small's keys are distinct, and n of the `rows` rows of big have each.
+
+    Keys with more than 1 in HOT_SHARE rows of big, fewer than HOT_SHARE of them, come by a broadcast; the others by a join.
+    """
+    is_hot = F.col("n") * HOT_SHARE > rows
+    hot, cold = small.where(is_hot).drop("n"), small.where(~is_hot).drop("n")
+    first = big.join(F.broadcast(hot), key)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return first.unionAll(rest.select(first.columns))
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(key.cast("string").cast("binary")) % n

@@ -161,6 +161,60 @@ def test_matching_statistics():
             assert length.tolist() == wanted
 
 
+def test_shard_search_against_brute_force():
+    """Many stretches of one anchor: every window finds the smallest other id, through backward search alone."""
+    rng = np.random.default_rng(8)
+    window = 6
+    for _ in range(30):
+        n = int(rng.integers(1, 40))
+        base = rng.integers(0, 5, 12)
+        texts = []
+        for _ in range(n):
+            t = base.copy()
+            t[rng.integers(0, 12, int(rng.integers(0, 3)))] = rng.integers(0, 9)
+            texts.append(t[: rng.integers(window, 13)])
+        texts = [np.array(t) for t in {tuple(t): 0 for t in texts}]
+        n = len(texts)
+        key, low, copied = np.zeros(n, np.int64), rng.integers(0, 20, n), rng.random(n) < 0.3
+        off = np.cumsum([0, *map(len, texts)])
+        got = substring.smallest_ids(np.concatenate(texts), off, key, low, copied, window)
+        runs = [[tuple(t[i : i + window]) for i in range(len(t) - window + 1)] for t in texts]
+        wanted = []
+        for i in range(n):
+            for w in runs[i]:
+                own = [low[j] for j in range(n) if key[j] == key[i] and w in runs[j] and (j != i or copied[i])]
+                wanted.append(min(own, default=substring.NONE))
+        # what counts is whether a smaller id is found, and for copies the smallest of all
+        for i, (g, w) in enumerate(zip(got, wanted)):
+            t = np.searchsorted(np.cumsum([len(r) for r in runs]), i, side="right")
+            if w < low[t] or copied[t]:
+                assert g == w
+            else:
+                assert g >= low[t]
+
+
+def test_removal_needs_the_search(real, monkeypatch):
+    monkeypatch.setattr(fm.FMIndex, "matching_statistics", lambda self, symbols, offsets: (np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)))
+    flat = np.tile(np.arange(60), 2)
+    one = lambda: substring.smallest_ids(flat, np.array([0, 60, 120]), np.zeros(2, np.int64), np.array([1, 2]), np.zeros(2, bool), 50)
+    assert (one() == substring.NONE).all()
+    monkeypatch.undo()
+    assert one().tolist() == [substring.NONE] * 11 + [1] * 11
+
+
+def test_index_is_compressed():
+    rng = np.random.default_rng(9)
+    text = rng.integers(1, 30_000, 200_000)
+    index = fm.FMIndex(text, np.arange(0, 200_001, 100), 50, np.arange(2000))
+    assert index.nbytes < 12 * len(text)
+    assert not any(hasattr(index, name) for name in ("sa", "ranks", "owner"))
+
+
+def test_ids_of_other_kinds(spark):
+    with pytest.raises(TypeError):
+        substring.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 # --- BPE ---
 
 
