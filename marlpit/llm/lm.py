@@ -11,7 +11,7 @@ unknown words, as one class. The sum over words is at most one, but for the filt
 
 While a filter (of words, of pairs) is no larger than `broadcast_bytes` every worker gets it whole. Beyond, documents
 are dealt in lots, each lot's distinct n-grams are sent to the segments, and their levels sent back: the same probes
-elsewhere.
+elsewhere. Lots follow the bytes of text, so that a lot's table and answers stay small whatever the corpus.
 
 A null text is an empty one: one token, the end. An empty table gives an empty result; without any training row the
 probability of every token is that of one unknown class, 1. Repeated rows are counted as often as they come and get equal scores. A null doc_id trains
@@ -35,8 +35,8 @@ END = "\n"  # no word has white space
 PROBES, BITS = 6, 8.66
 #: The smallest count of each level, from level 1.
 FLOORS = np.array([*range(1, 8), *(int(2 ** (3 + i // 4) * (4 + i % 4) // 4) for i in range(200))], np.float64)
-#: Heavier words than 1 in HEAVY of all tokens are at most HEAVY: their exact counts fit in a broadcast. Lots to a shuffle partition.
-HEAVY, SEGMENT_WORDS, STEP, LOTS, PROBED = 1 << 20, 2_000_000, 4 << 20, 16, 1 << 15
+#: Heavier words than 1 in HEAVY of all tokens are at most HEAVY: their exact counts fit in a broadcast. LOT_BYTES: text of a lot.
+HEAVY, SEGMENT_WORDS, STEP, LOT_BYTES, PROBED = 1 << 20, 2_000_000, 4 << 20, 16 << 20, 1 << 15
 BROADCAST_BYTES = 128 << 20
 
 
@@ -173,11 +173,8 @@ def _count_pairs(texts: Iterator[pa.Array], word_levels: Callable[[np.ndarray],
             v, w, count = x.pairs()
             h = pair_hash(x.hashes[v], x.hashes[w])
             seg = (h % np.uint64(segments)).astype(np.uint16 if segments < 1 << 16 else np.int64)
-            more = -(-count // 255)
-            last = np.repeat(np.cumsum(more) - 1, more)
-            key = (h >> np.uint64(24) << np.uint64(24)) | level[v] << np.uint64(16) | level[w] << np.uint64(8)
-            each, seg = np.repeat(key, more), np.repeat(seg, more)
-            each |= np.where(np.arange(len(each)) == last, np.repeat(count - 255 * (more - 1), more), 255).astype(np.uint64)
+            each, own = with_counts((h >> np.uint64(24) << np.uint64(24)) | level[v] << np.uint64(16) | level[w] << np.uint64(8), count)
+            seg = seg[own]
             order = np.argsort(seg, kind="stable")
             each, cuts = each[order], np.searchsorted(seg[order], np.arange(segments + 1))
             have = np.flatnonzero(np.diff(cuts))
@@ -185,13 +182,27 @@ def _count_pairs(texts: Iterator[pa.Array], word_levels: Callable[[np.ndarray],
         give_back()
 
 
+def with_counts(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key with its count in the lowest byte, a row for each digit of it to the base 64 that isn't 0; and the rows' keys.
+
+    A slice of text sends four rows of a pair at most, however often it has it.
+    """
+    rows, own = [], []
+    for place in range(4):  # a slice is too short for counts of 64 ** 4
+        digit = (count >> 6 * place) & 63
+        some = np.flatnonzero(digit)
+        rows.append(key[some] | (digit[some] | place << 6).astype(np.uint64))
+        own.append(some)
+    return np.concatenate(rows), np.concatenate(own)
+
+
 #: Cells of the leave-one-out counts: level of the first word, of the second, and the pair's level.
 PAIR_LEVELS = 256
 
 
 def _pair_segment(key, table):
     rows = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("rows")]))
-    ngram, count = rows >> np.uint64(8), (rows & np.uint64(255)).astype(np.int64)
+    ngram, count = rows >> np.uint64(8), (rows & np.uint64(63)).astype(np.int64) << ((rows >> np.uint64(6) & np.uint64(3)).astype(np.int64) * 6)
     first = np.flatnonzero(np.concatenate([[True], ngram[1:] != ngram[:-1]]))
     ngram, count = ngram[first], np.add.reduceat(count, first)
     level = level_of(count)
@@ -271,7 +282,6 @@ def score_corpus(docs: DataFrame, held_out_part: int = 2, of: int = 7, broadcast
     counts = materialize(counts, "word-counts")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     segments = 1 + total // SEGMENT_WORDS
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     # words: exact counts to levels; a segment is built from the rows that its hash gives it
     def hashed(batches):
@@ -314,8 +324,14 @@ def score_corpus(docs: DataFrame, held_out_part: int = 2, of: int = 7, broadcast
     few_words = not total or size(word_table) <= broadcast_bytes
     sent_words = spark.sparkContext.broadcast(whole(word_table)) if few_words else None
     # row_key names a row from one pass over the input to its sums, within one query
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_key")).withColumn("lot", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts * LOTS)).cast("int"))
-    pair_segments = word_answers = None
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_key"))
+
+    def in_lots() -> DataFrame:
+        """Rows with their lot: as many lots as the table's bytes ask for."""
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        return rows.withColumn("lot", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // LOT_BYTES)).cast("int"))
+
+    pair_segments = word_answers = lots = None
     if total:
         schema = "seg long, rows binary"
         if few_words:
@@ -325,13 +341,14 @@ def score_corpus(docs: DataFrame, held_out_part: int = 2, of: int = 7, broadcast
 
             counted = train.mapInArrow(count_pairs, schema)
         else:
-            word_answers = materialize(_answers(rows, _word_hashes, word_segments, segments, lambda f, h: f.levels(h)), "word-levels")
+            lots = in_lots()
+            word_answers = materialize(_answers(lots, _word_hashes, word_segments, segments, lambda f, h: f.levels(h)), "word-levels")
 
             def count_lot(key, table, answers):
                 found = list(_count_pairs(iter([table.column("text")]), _lookup(answers), segments))
                 return pa.Table.from_batches(found, pa.schema([("seg", pa.int64()), ("rows", pa.binary())]))
 
-            train_lots = rows.where(~held).groupBy("lot").cogroup(word_answers.groupBy("lot"))
+            train_lots = lots.where(~held).groupBy("lot").cogroup(word_answers.groupBy("lot"))
             counted = train_lots.applyInArrow(count_lot, schema)
         pair_segments = materialize(counted.groupBy("seg").applyInArrow(_pair_segment, built), "pair-segments")
         cells = {r[0]: r[1] for r in pair_segments.select(F.explode(F.arrays_zip("cells", "tokens")).alias("x")).groupBy("x.cells").agg(F.sum("x.tokens")).collect()}  # bounded: levels
@@ -382,10 +399,11 @@ def score_corpus(docs: DataFrame, held_out_part: int = 2, of: int = 7, broadcast
 
         scored = rows.select("doc_id", "text", "row_key").mapInArrow(run, out)
     else:
+        lots = in_lots() if lots is None else lots
         if word_answers is None:
-            word_answers = _answers(rows, _word_hashes, word_segments, segments, lambda f, h: f.levels(h))
-        pair_answers = _answers(rows, _pair_hashes, pair_segments, segments, lambda f, h: SegmentedPairs(f, 1).levels(h))
-        scored = _scored_by_lots(rows, word_answers.unionAll(pair_answers), context, rows_of, out)
+            word_answers = _answers(lots, _word_hashes, word_segments, segments, lambda f, h: f.levels(h))
+        pair_answers = _answers(lots, _pair_hashes, pair_segments, segments, lambda f, h: SegmentedPairs(f, 1).levels(h))
+        scored = _scored_by_lots(lots, word_answers.unionAll(pair_answers), context, rows_of, out)
     joined = scored.join(counts, "token", "left")
     add_one = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + types + 1)))
     joined = joined.groupBy("row_key").agg(

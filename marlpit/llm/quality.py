@@ -7,7 +7,7 @@ fold left out and one for all. Scores of the rows left out, counted in a fixed n
 pooling adjacent violators; new scores are read off that curve between the pools' centres.
 
 Null and empty texts have all statistics zero and are scored like others. Rows without an id or quality are not
-learned from; a doc_id with several labels counts once for each. Without any labelled row every score is 0.5. Repeated rows get equal scores;
+learned from, nor are they held out; a doc_id with several labels counts once for each. Without any labelled row every score is 0.5. Repeated rows get equal scores;
 an empty table gives an empty result.
 """
 
@@ -19,12 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from marlpit.llm.text import crc_mod, encode_words, gram_hashes, materialize, slices, split_words, word_hashes
 
-FOLDS, BINS = 5, 1000
+FOLDS, BINS, FAN = 5, 1000, 32
 NAMES = ["log_words", "word_length", "symbols", "capitals", "digits", "stops", "marks", "pipes", "non_letters", "distinct", "repeated", "dup_lines", "line_words", "bangs", "odd_ends", "long_words"]
 #: Bytes of each kind: 1 symbol, 2 capital, 3 digit, 4 sentence end, 5 other mark, 6 bar, 7 letter, 8 exclamation, 0 white space.
 KIND = np.full(256, 7, np.uint8)
@@ -79,7 +81,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         line_codes, _ = encode_words(line_flat)
         n_lines = np.maximum(np.diff(line_off), 1).astype(np.float64)
         dup_lines = n_lines - np.maximum(_first_seen(line_row, line_codes, n), 1)
-        chars, some = np.maximum(words + 0 * words, 1), np.maximum(_sums(kind != 0, byte_off), 1)
+        chars, some = np.maximum(words, 1), np.maximum(_sums(kind != 0, byte_off), 1)
         last = np.zeros(len(flat), np.uint8)
         if len(flat):
             word_raw, word_off = np.frombuffer(flat.buffers()[2], np.uint8), np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
@@ -178,22 +180,28 @@ def fit(found: DataFrame, labels: DataFrame, dimensions: int = 256, ridge: float
     size = dimensions + 1
 
     def equations(batches):
+        part = TaskContext.get().partitionId()
         total = np.zeros((FOLDS, size, size + 1))
         for b in batches:
             z, y, fold = model.features(_matrix(b.column(0))), np.asarray(b.column(1)), np.asarray(b.column(2))
             for k in range(FOLDS):
                 own = z[fold == k]
                 total[k] += own.T @ np.column_stack([own, y[fold == k]])
-        yield pa.record_batch({"k": pa.array(range(FOLDS), pa.int32()), "m": pa.array([t.tobytes() for t in total], pa.binary())})
+        yield pa.record_batch({"k": pa.array(range(FOLDS), pa.int32()), "part": pa.array([part] * FOLDS, pa.int32()), "m": pa.array([t.tobytes() for t in total], pa.binary())})
 
     def add(key, parts):
         total = np.zeros(size * (size + 1))
         for m in parts.column("m"):
             total += np.frombuffer(m.as_buffer())
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "m": pa.array([total.tobytes()], pa.binary())})
-
-    parts = rows.coalesce(64).mapInArrow(equations, "k int, m binary")  # at most 64 sums of a fixed size for each fold
-    added = {r.k: np.frombuffer(r.m).reshape(size, size + 1) for r in parts.groupBy("k").applyInArrow(add, "k int, m binary").collect()}
+        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "m": pa.array([total.tobytes()], pa.binary())})
+
+    # a sum of a fixed size for each partition and fold; FAN of them are added at a time, up a tree
+    kind, left = "k int, part int, m binary", rows.rdd.getNumPartitions()
+    parts = rows.mapInArrow(equations, kind)
+    while left > 1:
+        up = parts.select("k", F.floor(F.col("part") / FAN).cast("int").alias("part"), "m")
+        parts, left = up.groupBy("k", "part").applyInArrow(add, kind), -(-left // FAN)
+    added = {r.k: np.frombuffer(r.m).reshape(size, size + 1) for r in parts.collect()}
     whole = sum(added.values())
     count = max(whole[-1, -2], 1.0)
 
@@ -230,16 +238,27 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """(doc_id, held_out, score, predicted) of every document, learned from labels that are not held out."""
     found = materialize(document_statistics(docs), "statistics")
     scored = score(found, fit(found, labels))
-    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score reaches the threshold. Columns as in docs."""
-    model = fit(materialize(document_statistics(docs), "statistics"), labels)
+    """The documents whose score reaches the threshold. Columns as in docs.
+
+    Statistics are computed once and written beside the rows: the fit reads them without the texts, the filter both.
+    """
     at = docs.columns.index("text")
 
+    def measure(batches):
+        for b in batches:
+            x = statistics(b.column(at))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "__mp_x"])
+
+    both = materialize(docs.mapInArrow(measure, StructType([*docs.schema.fields, StructField("__mp_x", ArrayType(DoubleType()))])), "measured")
+    model = fit(both.select("doc_id", F.col("__mp_x").alias("x")), labels)
+
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(model.score(statistics(b.column(at))) >= threshold))
+            yield b.filter(pa.array(model.score(_matrix(b.column(b.num_columns - 1))) >= threshold)).drop_columns(["__mp_x"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return both.mapInArrow(run, docs.schema)

@@ -88,6 +88,20 @@ ORACLES: dict[str, str] = {
                sha256(CASE WHEN r.doc_id IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
         FROM w LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
     """,
+    # CRC-32 byte by byte, from the table of its reflected polynomial
+    "op6_sharding": """
+        WITH t AS (SELECT list(list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS crcs FROM range(256) AS r(i)),
+        d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+        b AS (SELECT doc_id, md5(body) AS h, CAST(octet_length(encode(body)) + 1 AS BIGINT) AS size,
+                     list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+        c AS (SELECT doc_id, h, size, xor(coalesce(list_reduce(bytes, lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295), 4294967295) AS text_crc32 FROM b, t),
+        g AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY h) AS own, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS begins FROM c),
+        p AS (SELECT *, CASE WHEN own * 8 * 32 <= total THEN min(begins) OVER (PARTITION BY h) ELSE begins END AS place FROM g),
+        s AS (SELECT *, CAST(least(7, place * 8 // total) AS INTEGER) AS shard FROM p)
+        SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM s
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),

@@ -33,7 +33,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_letters, n_ended): all long.
 
     n_repeat_words sorts one long per 3-word window, made of a 64-bit hash's upper bits and the window's place
-    (as many bits as the text's length needs), so windows found twice are neighbours.
+    (as many bits as the text's length needs), so windows found twice are neighbours. Hash bits only propose: the
+    proposed windows' words are sorted and compared, so the count is exact at every length.
     """
     t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     bare = F.btrim(F.col("t"), F.lit(SPACE))
@@ -48,8 +49,14 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         same = lambda y: F.call_function("shiftright", x.bitwiseXOR(y), F.col("bits")) == 0
         return F.coalesce(same(F.get("s", i + 1)), F.lit(False)) | F.coalesce(same(F.get("s", i - 1)), F.lit(False))
 
-    places = F.sort_array(F.transform(F.filter("s", twice), lambda x: x.bitwiseAND(F.col("mask"))))
-    t = t.withColumn("places", places)
+    def words(x: Column) -> Column:
+        at = x.bitwiseAND(F.col("mask"))
+        three = (F.get("w", (at + i).cast("int")) for i in range(3))  # words have no white space
+        return F.struct(F.concat_ws(" ", *three).alias("words"), at.alias("at"))
+
+    t = t.withColumn("g", F.sort_array(F.transform(F.filter("s", twice), words)))
+    neighbour = lambda x, i: F.coalesce(F.get("g", i)["words"] == x["words"], F.lit(False))
+    t = t.withColumn("places", F.sort_array(F.transform(F.filter("g", lambda x, i: neighbour(x, i + 1) | neighbour(x, i - 1)), lambda x: x["at"])))
     covered = F.aggregate(F.transform("places", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("places", i + 1) - p, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
 
     def left(pattern: str) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.graph import components, local_components
-from marlpit.llm.text import hash_strings, materialize, slices, split_words
+from marlpit.llm.text import hash_strings, hot_join, materialize, row_keys, slices, split_words
 
 #: Rows of a tile, and fingerprints of a bucket beyond which it is cut into cells.
 TILE, CELL = 64, 4096
@@ -150,28 +150,30 @@ def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, row_key long, root long, component_id): one row per document.
+    """(id, fp long, row_key, row_check long, root long, component_id): one row per document.
 
-    root names the component by a fingerprint, component_id by its smallest id. row_key is a hash of the row's
-    id and text. An empty table gives an empty result; other columns of docs are not read.
+    root names the component by a fingerprint, component_id by its smallest id. row_key and row_check are two hashes
+    of the row's id and text, 128 bits that name it. An empty table gives an empty result; other columns of docs are not read.
     """
 
     def run(batches):
         for x in batches:
-            fp = fingerprints(x.column(2), shingle).view(np.int64)
-            yield pa.record_batch({"id": x.column(0), "row_key": x.column(1), "fp": pa.array(fp)})
+            fp = fingerprints(x.column(3), shingle).view(np.int64)
+            yield pa.record_batch({"id": x.column(0), "row_key": x.column(1), "row_check": x.column(2), "fp": pa.array(fp)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    prints = materialize(own.mapInArrow(run, f"id {kind}, row_key long, fp long"), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    key, check = row_keys(id_col, text_col)
+    own = docs.select(F.col(id_col).alias("id"), key.alias("row_key"), check.alias("row_check"), F.col(text_col).alias("text"))
+    prints = materialize(own.mapInArrow(run, f"id {kind}, row_key long, row_check long, fp long"), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "nodes")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = components(near_links(nodes, radius))
-    whole = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    whole = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     lowest = whole.where("fp <> root").groupBy("root").agg(F.min("low").alias("other"))
     named = whole.join(lowest, "root", "left").select("fp", "root", F.least("low", "other").alias("own_low"), "other")
     tops = named.where("fp = root").select(F.col("fp").alias("root"), F.col("own_low").alias("component_id"))
-    labels = whole.select("fp", "root").join(tops, "root")
-    return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "row_key", "root", "component_id")
+    labels = materialize(whole.select("fp", "n", "root").join(tops, "root"), "labels")
+    return hot_join(prints, labels, "fp", total).select(F.col("id").alias(id_col), "fp", "row_key", "row_check", "root", "component_id")
 
 
 def fingerprint_hex(fp) -> F.Column:
@@ -182,6 +184,8 @@ def fingerprint_hex(fp) -> F.Column:
 def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """One document of each component, that with the smallest doc_id (of equal ids and texts, one row). Columns as in docs."""
     found = near_duplicates(docs, radius, shingle)
-    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("best")).select(F.col("best.row_key").alias("__mp_key"))
-    own = docs.withColumn("__mp_key", F.xxhash64("doc_id", "text"))
-    return own.join(best, "__mp_key", "left_semi").dropDuplicates(["__mp_key"]).drop("__mp_key")
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "row_key", "row_check")).alias("best"))
+    best = best.select(F.col("best.row_key").alias("__mp_key"), F.col("best.row_check").alias("__mp_check"))
+    key, check = row_keys("doc_id", "text")
+    own = docs.withColumn("__mp_key", key).withColumn("__mp_check", check)
+    return own.join(best, ["__mp_key", "__mp_check"], "left_semi").dropDuplicates(["__mp_key", "__mp_check"]).drop("__mp_key", "__mp_check")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from marlpit.llm.text import gram_hashes, slices, split_words, word_hashes
 
 SHINGLE, K = 5, 128
+#: Bytes of text in a block of neighbours.
+BLOCK_BYTES = 32 << 20
 
 
 def sketches(texts: pa.Array, k: int = K, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -99,21 +101,24 @@ def merge(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     return keys.join(merged, keys[key].eqNullSafe(merged["__mp_key"]), "left").select(key, F.coalesce("sketch", F.array().cast("array<bigint>")).alias("sketch"))
 
 
-def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """(block, role, key, doc_id, text): documents in blocks of descending doc_id, each block followed by the next one's first row.
+def with_next(docs: DataFrame, blocks: int | None = None) -> tuple[DataFrame, int]:
+    """The number of blocks, after (block, role, key, doc_id, text): documents in blocks of descending doc_id, each block followed by the next one's first row.
 
-    Blocks are cut at approximate quantiles of doc_id; a row of role 1 is a copy of the first document of the
+    Blocks of some BLOCK_BYTES, and at least as many as there are shuffle partitions, are cut at approximate quantiles
+    of doc_id (rows of one id stay in one block) and numbered from 0 in that order; a row of role 1 is a copy of the first document of the
     following block (of the first block, after the last). Null ids come last; equal ids are ordered by text.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not blocks:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"))
-    cuts = rows.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] if blocks > 1 else None
+    cuts = rows.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks))).first()[0] if blocks > 1 else None
     splits = [float("-inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
     if len(splits) > 2:
-        rows = Bucketizer(splits=splits, inputCol="__mp_at", outputCol="__mp_b").transform(rows.withColumn("__mp_at", F.col("key").cast("double"))).withColumn("block", -F.col("__mp_b").cast("int"))
+        rows = Bucketizer(splits=splits, inputCol="__mp_at", outputCol="__mp_b").transform(rows.withColumn("__mp_at", F.col("key").cast("double"))).withColumn("block", F.lit(len(splits) - 2) - F.col("__mp_b").cast("int"))
     else:
         rows = rows.withColumn("block", F.lit(0))
     heads = sorted(map(tuple, rows.groupBy("block").agg(F.max("key")).collect()))  # a row per block
@@ -125,7 +130,7 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         places = F.when(F.col("__mp_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("__mp_to").alias("block"), F.lit(1).alias("role"))))
     else:
         places = F.array(own)
-    return rows.select(F.explode(places).alias("p"), "key", "doc_id", "text").select("p.block", "p.role", "key", "doc_id", "text")
+    return rows.select(F.explode(places).alias("p"), "key", "doc_id", "text").select("p.block", "p.role", "key", "doc_id", "text"), len(splits) - 1
 
 
 def edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -134,7 +139,7 @@ def edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next); next by descending
     doc_id, around from the last to the first. A single document is its own next.
     """
-    ordered = with_next(docs)
+    ordered, blocks = with_next(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     per = 2 << 20
@@ -186,5 +191,4 @@ def edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
         if ids:
             yield work(ids, texts, following)
 
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ordered.repartition(blocks, "block").sortWithinPartitions("block", "role", F.desc("key"), "text").mapInArrow(run, out)
+    return ordered.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "role", F.desc("key"), "text").mapInArrow(run, out)

@@ -52,6 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's id and text: together they tell rows apart at any table's size."""
+    return F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col))
+
+
 def hot_join(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
     """big joined with small(key, n, ...) on key: small's keys are distinct, and n of the `rows` rows of big have each.
 

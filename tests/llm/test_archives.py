@@ -69,7 +69,7 @@ def test_pipeline(spark, sf_dir):
     assert kept.schema == docs.schema and sum(good) >= 0.97 * len(good)
     out = corpus_pipeline.run(spark, sf_dir)
     rows = out.collect()
-    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256"]
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "slot", "position"]
     assert len({r.doc_id for r in rows}) == len(rows) and {r.doc_id for r in rows} <= ids
     assert all(len(r.ids) == r.n_tokens for r in rows)
 

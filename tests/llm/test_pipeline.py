@@ -13,7 +13,7 @@ def test_mixed_order_survives_files(spark, sf_dir, tmp_path, monkeypatch):
     written = {}
     inner = corpus_pipeline.materialize
     monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: written.setdefault(name, inner(df, name)))
-    monkeypatch.setattr(mixing.places, "__defaults__", (None, 4, mixing.MAX_BLOCKS))
+    monkeypatch.setattr(mixing.places, "__defaults__", (None, 4))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -25,7 +25,7 @@ def test_mixed_order_survives_files(spark, sf_dir, tmp_path, monkeypatch):
     mixed = written["pipeline-source_mixing"]
     assert len(found.inputFiles()) > 1 and len(mixed.inputFiles()) > 1
     rows = defaultdict(list)
-    for r in mixed.select("doc_id", "source", F.xxhash64(F.lit(17), F.xxhash64("doc_id", "text")).alias("key")).collect():
+    for r in mixed.select("doc_id", "source", F.shiftrightunsigned(F.xxhash64(F.lit(17), F.xxhash64("doc_id", "text")), 1).alias("key")).collect():
         rows[r.source].append((r.key, r.doc_id))
     counts = {s: len(x) for s, x in rows.items()}
     plan = mixing.schedule({s: -(-n // 4) for s, n in counts.items()}, mixing.target_weights(counts))

@@ -374,13 +374,23 @@ def test_log_frequency_filter():
     assert (lm.floor_of(lm.level_of(counts)) <= counts).all() and (lm.ceiling_of(lm.level_of(counts)) >= counts).all()
 
 
+def test_counts_of_pairs_in_few_rows():
+    key = np.arange(1, 6, dtype=np.uint64) << np.uint64(8)
+    count = np.array([1, 63, 64, 255, 1_000_000])
+    rows, own = lm.with_counts(key, count)
+    assert len(rows) <= 4 * len(key)
+    got = np.zeros(5, np.int64)
+    np.add.at(got, own, (rows & np.uint64(63)).astype(np.int64) << 6 * (rows >> np.uint64(6) & np.uint64(3)).astype(np.int64))
+    assert got.tolist() == count.tolist() and (rows >> np.uint64(8) == own.astype(np.uint64) + 1).all()
+
+
 def test_backoff_of_frequent_words():
     # the same follower shares at every size: the weight of p1 must not grow with the counts
     found = []
     for total in (10**5, 10**7, 10**9):
         count = total // 1000
         top = np.uint64(int(lm.level_of(np.array([total]))[0]) << 16 | int(lm.level_of(np.array([count]))[0]) << 8)
-        rows = [np.uint64(i + 1) << np.uint64(24) | top | np.uint64(n) for i in range(3) for n in [255] * (count // 255) + [count % 255]]
+        rows = lm.with_counts(np.array([np.uint64(i + 1) << np.uint64(24) | top for i in range(3)]), np.full(3, count))[0]
         part = lm._pair_segment((pa.scalar(0),), pa.table({"rows": pa.array([np.array(rows, np.uint64).tobytes()], pa.binary())}))
         cells = dict(zip(part.column("cells")[0].as_py(), part.column("tokens")[0].as_py()))
         assert sum(cells.values()) == 3 * count
@@ -456,10 +466,28 @@ def test_shards(table, request):
     for k in range(4):
         own = sorted((r for r in rows if r.shard == k), key=lambda r: r.slot)
         assert [r.slot for r in own] == list(range(len(own)))
-        assert abs(sum(r.size for r in own) - total / 4) < largest
+        assert abs(sum(r.size for r in own) - total / 4) < max(largest, total / 4 / sharding.WHOLE)
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.text_crc32, r.size), []).append(r)
+    small = [g for g in groups.values() if sum(r.size for r in g) * 4 * sharding.WHOLE <= total]
+    assert small and all(len({r.shard for r in g}) == 1 for g in small)
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
+def test_groups_over_many_partitions(spark):
+    """A group that goes on over partitions stays whole where it is small, and is cut where it is large."""
+    rows = [(i, "same") for i in range(400)] + [(1000 + i, f"other {i}") for i in range(4000)] + [(6000 + i, "large one " * 20) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sharding.shard_by_bytes(docs, 8, partitions=60).collect()
+    total, shards = sum(r.size for r in found), {}
+    for r in found:
+        shards.setdefault(r.shard, []).append(r)
+    assert all(abs(sum(r.size for r in s) - total / 8) < max(201, total / 8 / sharding.WHOLE) for s in shards.values())
+    same = [r.shard for r in found if r.doc_id < 400]
+    assert len(set(same)) == 1 or 5 * 400 * 8 * sharding.WHOLE > total
+
+
 def test_shards_written(spark, real, tmp_path):
     sharding.write_shards(real, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == real.count()
