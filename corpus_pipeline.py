@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.llm import bpe, mixing, quality, simhash, substring
-from marlpit.llm.text import materialize
+from marlpit.llm.text import materialize, row_keys
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,11 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Files are read again in any order, so the place of a row goes along as columns. It follows from the rows alone: the
     mix of docs here is the one that source_mixing wrote.
     """
-    row = F.struct("doc_id", "source", F.xxhash64("doc_id", "text").alias("row_key"))
+    key, check = row_keys("doc_id", "text")
+    row = F.struct("doc_id", "source", key.alias("row_key"), check.alias("row_check"))
     encoded = bpe.encode(docs.select(row.alias("row"), "text"), id_col="row").select("row.*", "n_tokens", "ids", "ids_sha256")
     encoded = materialize(encoded.withColumn("tie", F.monotonically_increasing_id()), "pipeline-encoded")
-    places = mixing.places(encoded.select("doc_id", "source", "row_key", "tie")).select("tie", "slot", "position")
+    places = mixing.places(encoded.select("doc_id", "source", "row_key", "row_check", "tie")).select("tie", "slot", "position")
     return encoded.join(places, "tie").select("doc_id", "n_tokens", "ids", "ids_sha256", "slot", "position")
 
 
