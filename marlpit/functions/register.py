@@ -44,7 +44,7 @@ def collation(key: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return key
 
 
-#: The collations that come along: NOCASE folds A-Z, RTRIM leaves out spaces at the end, UINT sorts by leading digits.
+#: The collations that come along: NOCASE folds A-Z, RTRIM leaves out spaces at the end.
 def nocase(x: Column) -> Column:
     from marlpit.functions.strings import ascii_lower
 

@@ -53,7 +53,7 @@ def rtrim(x: Column, chars: str = " ") -> Column:
 
 def instr(text: Column, part: Column) -> Column:
     """1-based place of part, 0 where there is none, 1 for an empty part."""
-    return F.when(part == "", F.when(text.isNotNull(), 1)).otherwise(F.locate_col(part, text) if hasattr(F, "locate_col") else F.call_function("locate", part, text))
+    return F.when(part == "", F.when(text.isNotNull(), 1)).otherwise(F.call_function("locate", part, text))
 
 
 def replace(x: Column, old: Column, new: Column) -> Column:
@@ -124,40 +124,48 @@ def like_regex(pattern: str, escape: str | None = None, fold: bool = True) -> st
         else:
             out.append({"%": ".*", "_": "."}.get(c) or re.escape(c))
         at += 1
-    return f"(?s{'i' if fold else ''})^{''.join(out)}$"
+    return f"(?s{'i' if fold else ''})^{''.join(out)}\\z"
 
 
 def glob_regex(pattern: str) -> str:
-    """GLOB as a Java regular expression: * ? [...] [^...], minding case."""
+    """GLOB as a Java regular expression: * ? [...] [^...] [!...], minding case."""
     out, at = [], 0
     while at < len(pattern):
         c = pattern[at]
         end = pattern.find("]", at + 2) if c == "[" else -1
         if c == "[" and end > 0:
             inner = pattern[at + 1 : end]
-            out.append(f"[{'^' if inner[0] == '^' else ''}{re.sub(r'([\\\[&^])', r'\\\1', inner.lstrip('^'))}]")
+            bare = inner[1:] if inner[0] in "^!" else inner
+            out.append(f"[{'^' if inner[0] in '^!' else ''}{re.sub(r'([\\\[&^])', r'\\\1', bare)}]")
             at = end
         else:
             out.append({"*": ".*", "?": "."}.get(c) or re.escape(c))
         at += 1
-    return f"(?s)^{''.join(out)}$"
+    return f"(?s)^{''.join(out)}\\z"
 
 
 def glob(x: Column, pattern: str) -> Column:
     return x.rlike(glob_regex(pattern))
 
 
-def similar_regex(pattern: str) -> str:
-    """SIMILAR TO as a Java regular expression: anchored, % and _, with | * + ? {m,n} ( ) [ ]."""
-    out, inside = [], False
+def similar_regex(pattern: str, escape: str | None = None) -> str:
+    """SIMILAR TO as a Java regular expression: anchored, % and _, with | * + ? {m,n} ( ) [ ]; `escape` makes the next one plain."""
+    out, inside, plain = [], False, False
     for c in pattern:
-        inside = (inside or c == "[") and c != "]"
-        out.append(c if inside else {"%": ".*", "_": ".", ".": r"\.", "^": r"\^", "$": r"\$"}.get(c, c))
-    return f"(?s)^(?:{''.join(out)})$"
+        if plain or c != escape:
+            if plain:
+                out.append(re.escape(c))
+            else:
+                inside = (inside or c == "[") and c != "]"
+                out.append(c if inside else {"%": ".*", "_": ".", ".": r"\.", "^": r"\^", "$": r"\$"}.get(c, c))
+            plain = False
+        else:
+            plain = True
+    return f"(?s)^(?:{''.join(out)})\\z"
 
 
-def similar_to(x: Column, pattern: str) -> Column:
-    return x.rlike(similar_regex(pattern))
+def similar_to(x: Column, pattern: str, escape: str | None = None) -> Column:
+    return x.rlike(similar_regex(pattern, escape))
 
 
 def match(text: str, *xs: Column) -> Column:

@@ -37,6 +37,37 @@ def percentile_cont(x: Column, p: float) -> Column:
     return F.percentile(x, p)
 
 
+def percentile_per_group(df: DataFrame, keys: list[str], column: str, p: float, name: str, accuracy: int = 10_000) -> DataFrame:
+    """(keys, name): percentile_cont of large groups, exactly. A sketch brackets the place of the percentile; values below
+    are only counted, and those within, some 4 / accuracy of the group, are counted by value and put in order. Groups of
+    at most 4 * accuracy values are bracketed by their ends, groups without values have null."""
+    e, x = 2.0 / accuracy, F.col(column)
+    edges = F.percentile_approx(x, [max(0.0, p - e), min(1.0, p + e)], accuracy)
+    found = df.groupBy(*keys).agg(edges.alias("__mp_e"), F.count(x).alias("__mp_n"), F.array(F.min(x), F.max(x)).alias("__mp_ends"))
+    found = found.withColumn("__mp_e", F.when(F.col("__mp_n") <= 4 * accuracy, F.col("__mp_ends")).otherwise(F.col("__mp_e"))).drop("__mp_ends")
+    rows = df.select(*(F.col(k).alias(f"__mp_{k}") for k in keys), x.alias("__mp_x")).where("__mp_x is not null")
+    place = (F.col("__mp_n") - 1) * F.lit(p)
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"__mp_{k}").eqNullSafe(F.col(k))
+    near = rows.join(found, on).where(F.col("__mp_x") <= F.col("__mp_e")[1])
+    by = [F.col(k) for k in keys]
+    counts = near.groupBy(*by, "__mp_n", F.when(F.col("__mp_x") >= F.col("__mp_e")[0], F.col("__mp_x")).alias("__mp_v")).agg(F.count("*").alias("__mp_c"))
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_first("__mp_v"))
+    counts = counts.withColumn("__mp_s", F.sum("__mp_c").over(w))
+    low, high = F.floor(place), F.ceil(place)
+    wrong = F.raise_error(F.lit("the sketch misses the percentile"))
+    inside = counts.groupBy(*by, "__mp_n").agg(
+        F.min(F.when(F.col("__mp_s") > low, F.col("__mp_v"))).alias("a"),
+        F.min(F.when(F.col("__mp_s") > high, F.col("__mp_v"))).alias("b"),
+        F.coalesce(F.max(F.when(F.col("__mp_v").isNull(), F.col("__mp_c"))), F.lit(0)).alias("below"),
+    )
+    value = F.when(low == high, F.col("a").cast("double")).otherwise((high - place) * F.col("a") + (place - low) * F.col("b"))
+    inside = inside.select(*by, F.when((F.col("below") > low) | F.col("b").isNull(), wrong.cast("double")).otherwise(value).alias(name))
+    whole = found.select(*(F.col(k).alias(f"__mp_{k}") for k in keys))
+    return whole.join(inside, on, "left").select(*(F.col(f"__mp_{k}").alias(k) for k in keys), name)
+
+
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key under an order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -145,12 +145,12 @@ def _(t, spark):
 
 @frame("agg_median", "SELECT l_returnflag, median(l_extendedprice) AS m FROM lineitem GROUP BY l_returnflag")
 def _(t, spark):
-    return t("lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("m"))
+    return aggregates.percentile_per_group(t("lineitem"), ["l_returnflag"], "l_extendedprice", 0.5, "m")
 
 
 @frame("agg_percentile_cont", f"SELECT o_orderstatus, {r2('quantile_cont(o_totalprice, 0.9)')} AS p90 FROM orders GROUP BY o_orderstatus")
 def _(t, spark):
-    p90 = t("orders").groupBy("o_orderstatus").agg(aggregates.percentile_cont(F.col("o_totalprice"), 0.9).alias("p"))
+    p90 = aggregates.percentile_per_group(t("orders"), ["o_orderstatus"], "o_totalprice", 0.9, "p")
     return p90.selectExpr("o_orderstatus", f"{r2('p')} AS p90")
 
 
@@ -191,7 +191,11 @@ sql("win_first_last_nth", f"SELECT o_orderkey, first_value(o_totalprice) OVER w
 sql("win_rows_frame", f"SELECT o_orderkey, {r2(f'sum(o_totalprice) OVER ({_OVER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS s, count(*) OVER ({_OVER} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM {{orders}}")
 sql("win_range_frame", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM {lineitem}", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM lineitem")
 sql("win_named", f"SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, max(o_totalprice) OVER w AS m FROM {{orders}} WINDOW w AS ({_OVER})")
-sql("win_over_groups", f"SELECT o_custkey, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS r FROM (SELECT o_custkey, count(*) AS n FROM {{orders}} GROUP BY o_custkey) g")
+
+
+@frame("win_over_groups", "SELECT o_custkey, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) g")
+def _(t, spark):
+    return windows.rank_over_all(t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "n", "r", descending=True)
 
 
 @frame("win_groups_frame", "SELECT l_orderkey, l_linenumber, l_quantity, count(*) OVER w AS n, max(l_linenumber) OVER w AS m FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
@@ -209,9 +213,9 @@ def _exclude(kind: str):
         w = Window.partitionBy("o_custkey")
         if kind == "current row":
             w = w.orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 2)
+            found = windows.sum_excluding("o_totalprice", "o_orderkey", w, kind)
         else:
-            w = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        found = windows.sum_excluding("o_totalprice", "o_orderkey", w, kind, "o_orderpriority")
+            found = windows.sum_excluding_peers("o_totalprice", ["o_custkey"], "o_orderpriority", kind == "ties")
         return t("orders").select("o_orderkey", found.alias("x")).selectExpr("o_orderkey", f"{r2('x')} AS s")
 
 
@@ -227,16 +231,16 @@ def _(t, spark):
 
 # --- sort and limit ---
 
-sql("order_nulls", "SELECT l_orderkey, l_linenumber, nullif(l_linenumber, 2) AS k FROM {lineitem} ORDER BY k DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 500")
+sql("order_nulls", "SELECT l_orderkey, l_linenumber, nullif(l_linenumber, 2) AS k FROM {lineitem} ORDER BY k DESC NULLS LAST, l_orderkey, l_linenumber")
 sql("order_nulls_all", "SELECT l_orderkey, l_linenumber, nullif(l_linenumber, 2) AS k FROM {lineitem} ORDER BY k DESC NULLS LAST, l_orderkey, l_linenumber")
 sql("top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 sql("limit_offset", "SELECT c_custkey, c_name FROM {customer} ORDER BY c_custkey LIMIT 20 OFFSET 40")
 sql("fetch_first", "SELECT p_partkey FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 10", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey FETCH FIRST 10 ROWS ONLY")
 
 
-@frame("order_collate_nocase", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey LIMIT 30")
+@frame("order_collate_nocase", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey")
 def _(t, spark):
-    return t("part").select("p_partkey", "p_name").orderBy(strings.ascii_lower(F.col("p_name")), "p_partkey").limit(30)
+    return t("part").select("p_partkey", "p_name").orderBy(strings.ascii_lower(F.col("p_name")), "p_partkey")
 
 
 @frame("order_collate_nocase_all", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey")

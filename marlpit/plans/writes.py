@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,7 +81,7 @@ def _(t, spark):
 
 @frame("dml_upsert", f"WITH n AS ({_NEW}) SELECT c.c_custkey, c.c_name, c.c_nationkey, CASE WHEN n.c_custkey IS NOT NULL AND c.c_acctbal > 0 THEN n.c_acctbal ELSE c.c_acctbal END AS c_acctbal, c.c_mktsegment FROM customer c LEFT JOIN n USING (c_custkey) UNION ALL SELECT {_C} FROM n WHERE c_custkey >= 1000000")
 def _(t, spark):
-    return dml.upsert(t("customer"), _new_customers(t), ["c_custkey"], {"c_acctbal": "s.c_acctbal"}, "t.c_acctbal > 0")
+    return dml.upsert(t("customer"), _new_customers(t), ["c_custkey"], {"c_acctbal": "s.c_acctbal"}, F.col("c_acctbal"), "t.c_acctbal > 0")
 
 
 @frame("dml_insert_or_ignore", f"WITH n AS ({_NEW}) SELECT {_C} FROM customer UNION ALL SELECT {_C} FROM n WHERE c_custkey >= 1000000")
@@ -112,6 +113,93 @@ def _(t, spark):
     return dml.returning(t("customer"), F.expr("c_acctbal < 0"), {"c_acctbal": F.lit(0.0)}, [F.col("c_custkey"), F.col("c_acctbal")])
 
 
+@frame("dml_upsert_repeats", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal + 2, 'again' FROM customer WHERE c_custkey % 2 = 1")
+def _(t, spark):
+    # every odd key is new and proposed twice: the first row is inserted, the second updates it
+    c = t("customer")
+    odd = c.where("c_custkey % 2 = 1")
+    rows = odd.withColumn("n", F.lit(1)).unionByName(odd.withColumn("n", F.lit(2)).withColumn("c_acctbal", F.col("c_acctbal") + 2).withColumn("c_name", F.lit("unused")))
+    return dml.upsert(c.where("c_custkey % 2 = 0"), rows, ["c_custkey"], {"c_acctbal": "s.c_acctbal", "c_mktsegment": "'again'"}, F.col("n"))
+
+
+@frame("dml_insert_or_ignore_nulls", "SELECT c_custkey, nullif(c_nationkey, 3) AS c_nationkey FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, CAST(NULL AS INTEGER) FROM customer WHERE c_custkey % 2 = 1 AND c_nationkey = 3 UNION ALL SELECT min(c_custkey), c_nationkey FROM customer WHERE c_custkey % 2 = 1 AND c_nationkey <> 3 AND c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY c_nationkey")
+def _(t, spark):
+    # unique on c_nationkey: rows without one never conflict
+    c = t("customer").selectExpr("c_custkey", "nullif(c_nationkey, 3) AS c_nationkey")
+    return dml.insert_or_ignore(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 2 = 1"), ["c_nationkey"], F.col("c_custkey"))
+
+
+@frame("dml_upsert_arms", "SELECT c_custkey, CASE WHEN c_custkey <= 20 THEN 'by key' WHEN c_custkey <= 40 THEN 'by name' ELSE c_name END AS c_name FROM customer UNION ALL SELECT c_custkey + 9000000, c_name || ' new' FROM customer WHERE c_custkey BETWEEN 41 AND 60")
+def _(t, spark):
+    c = t("customer").select("c_custkey", "c_name")
+    rows = c.where("c_custkey <= 20").withColumn("c_name", F.concat("c_name", F.lit("?")))
+    rows = rows.unionByName(c.where("c_custkey between 21 and 40").withColumn("c_custkey", F.col("c_custkey") + 8_000_000))
+    rows = rows.unionByName(c.where("c_custkey between 41 and 60").selectExpr("c_custkey + 9000000 AS c_custkey", "c_name || ' new' AS c_name"))
+    return dml.upsert_arms(c, rows, [(["c_custkey"], {"c_name": "'by key'"}), (["c_name"], {"c_name": "'by name'"})], F.col("c_custkey"))
+
+
+@frame("dml_update_limit", "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def _(t, spark):
+    return dml.update_limited(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), F.expr("o_orderstatus = 'O'"), {"o_orderstatus": F.lit("X")}, [F.desc("o_totalprice"), F.col("o_orderkey")], 50, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
+
+
+@frame("dml_insert_returning", "SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_suppkey) AS id, upper(s_name) AS name FROM supplier")
+def _(t, spark):
+    table = t("customer").selectExpr("c_custkey AS id", "c_name AS name")
+    rows = dml.with_row_ids(table, t("supplier").selectExpr("s_suppkey AS k", "s_name AS name"), "id", [F.col("k")], 8)
+    return dml.aligned(rows, table).select("id", F.upper("name").alias("name"))
+
+
+@frame("dml_delete_returning", "SELECT c_custkey, -c_acctbal AS owed FROM customer WHERE c_acctbal < 0")
+def _(t, spark):
+    return t("customer").where("c_acctbal < 0").select("c_custkey", (-F.col("c_acctbal")).alias("owed"))
+
+
+@frame("fk_restrict", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def _(t, spark):
+    return dml.restricted(t("orders"), "o_custkey", t("customer").where("c_acctbal < 0"), "c_custkey").select("o_orderkey")
+
+
+@frame("fk_set_default", "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 1 ELSE o_custkey END AS o_custkey FROM orders")
+def _(t, spark):
+    return dml.cascade_set(t("orders"), "o_custkey", t("customer").where("c_acctbal < 0"), "c_custkey", F.lit(1).cast("bigint")).select("o_orderkey", "o_custkey")
+
+
+@frame("row_trigger_audit", "SELECT c_custkey, c_acctbal AS before, CAST(0 AS DOUBLE) AS after FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0")
+def _(t, spark):
+    # AFTER UPDATE OF c_acctbal WHEN old <> new, as a set: the changed rows beside what they were
+    old = t("customer")
+    new = dml.update(old, F.expr("c_mktsegment = 'BUILDING' AND c_acctbal < 0"), {"c_acctbal": F.lit(0.0)})
+    both = old.select("c_custkey", F.col("c_acctbal").alias("before")).join(new.select("c_custkey", F.col("c_acctbal").alias("after")), "c_custkey")
+    return both.where("before <> after").select("c_custkey", "before", "after")
+
+
+@frame("savepoint_rollback_to", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s FROM customer WHERE c_custkey % 2 = 0")
+def _(t, spark):
+    s = Session(spark, configure=False)
+    s.create("c", t("customer"))
+    s.begin()
+    s.put("c", dml.delete(s.tables["c"], F.expr("c_custkey % 2 = 1")), "delete")
+    s.savepoint("half")
+    s.put("c", dml.delete(s.tables["c"], F.lit(True)), "delete")
+    s.rollback_to("half")
+    s.release("half")
+    s.commit()
+    return s.sql("SELECT count(*) AS n, sum(c_custkey) AS s FROM {c}")
+
+
+@frame("alter_table", "SELECT s_suppkey AS id, s_name, 'none' AS note FROM supplier")
+def _(t, spark):
+    s = Session(spark, configure=False)
+    s.create("s", t("supplier"))
+    s.rename_column("s", "s_suppkey", "id")
+    s.add_column("s", "note", "string", "'none'")
+    s.drop_column("s", "s_acctbal")
+    s.drop_column("s", "s_nationkey")
+    s.rename("s", "suppliers")
+    return s.tables["suppliers"]
+
+
 @frame("ctas", "SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey")
 def _(t, spark):
     s = Session(spark, configure=False)
@@ -204,8 +292,6 @@ def _(t, spark):
 
 @frame("csv_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def _(t, spark):
-    import uuid
-
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     tables.write(t("supplier").select("s_suppkey", "s_name", "s_acctbal"), path, "csv")
     return tables.read_csv(spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
@@ -227,10 +313,26 @@ def _(t, spark):
     return events.sessions(t("events"), "2 hours")
 
 
-@frame("cdc_apply", "SELECT user_id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> (SELECT min(event_type) FROM events)")
+@frame("cdc_apply", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 1 THEN 'changed' ELSE c_name END AS c_name FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT s_suppkey + 7000000, s_name FROM supplier")
 def _(t, spark):
-    rows = t("events")
-    lowest = rows.agg(F.min("event_type").alias("x"))  # one row
-    changes = rows.crossJoin(F.broadcast(lowest)).select("user_id", "event_id", F.when(F.col("event_type") == F.col("x"), "D").otherwise("U").alias("op"), F.col("event_id").alias("seq"))
-    empty = rows.select("user_id", "event_id").limit(0)
-    return events.apply_changes(empty, changes, ["user_id"])
+    # keys of 0 modulo 5 are changed, then deleted; of 1 modulo 5, deleted, then written again; suppliers are new
+    c = t("customer").select("c_custkey", "c_name")
+    change = lambda where, op, seq, name="c_name": c.where(where).select("c_custkey", F.expr(name).alias("c_name"), F.lit(op).alias("op"), F.lit(seq).alias("seq"))
+    changes = change("c_custkey % 5 = 0", "U", 1, "'lost'").unionByName(change("c_custkey % 5 = 0", "D", 2))
+    changes = changes.unionByName(change("c_custkey % 5 = 1", "D", 1)).unionByName(change("c_custkey % 5 = 1", "U", 2, "'changed'"))
+    new = t("supplier").selectExpr("s_suppkey + 7000000 AS c_custkey", "s_name AS c_name", "'I' AS op", "1 AS seq")
+    return events.apply_changes(c, changes.unionByName(new), ["c_custkey"])
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream: windows that the watermark closes, appended to a table in the shared folder."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = tables.load(spark, sf_dir, "events").schema
+    rows = events.read_stream(spark, f"{sf_dir}/events.parque[t]", schema)
+    found = events.tumbling(rows, "1 hour", late="2 hours")
+    events.append_to(found, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out").select("start", "event_type", "n")
+
+
+QUERIES["stream_append"] = _streamed
+ORACLES["stream_append"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 HOUR"

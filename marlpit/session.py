@@ -21,8 +21,10 @@ CONF = {
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a local folder only where none is set."""
+    """spark.checkpoint.dir, which driver and executors share; a local folder only where none is set and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or "/tmp/checkpoints/marlpit").rstrip("/")
 
 

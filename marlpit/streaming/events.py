@@ -13,6 +13,11 @@ def read_stream(spark: SparkSession, folder: str, schema: StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def append_to(found: DataFrame, path: str, state: str) -> None:
+    """Run a stream over all input that is there, appending what its watermark closes to Parquet files at path."""
+    found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(path).awaitTermination()
+
+
 def tumbling(events: DataFrame, width: str, late: str | None = None, slide: str | None = None) -> DataFrame:
     """(start, event_type, n, total) per window of time; with `late`, a stream's state ends that long after a window."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))

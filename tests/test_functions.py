@@ -31,6 +31,10 @@ def test_strings(spark):
     assert one(spark, strings.glob(F.lit("file[1]"), "file[[]?]")) is True
     assert one(spark, strings.similar_to(F.lit("a.b"), "a.b")) is True
     assert one(spark, strings.similar_to(F.lit("axb"), "a.b")) is False
+    for holds in (strings.like(F.lit("abc\n"), "abc"), strings.glob(F.lit("abc\n"), "abc"), strings.similar_to(F.lit("abc\n"), "abc")):
+        assert one(spark, holds) is False
+    assert one(spark, strings.glob(F.lit("b"), "[!a]")) is True and one(spark, strings.glob(F.lit("a"), "[!a]")) is False
+    assert one(spark, strings.similar_to(F.lit("5%"), "5#%", "#")) is True and one(spark, strings.similar_to(F.lit("55"), "5#%", "#")) is False
     assert one(spark, strings.printf("%i%%|%5s", F.lit(None).cast("int"), F.lit("x"))) == "0%|    x"
     assert one(spark, strings.char(F.lit(0x1F600))) == "😀"
 

@@ -6,7 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from marlpit.operators import dml
+from marlpit.operators import aggregates, dml, windows
 from marlpit.operators.recursion import recursive_union
 from marlpit.session import ConstraintError, Session, TableMeta
 from marlpit.sources.tables import load
@@ -79,3 +79,29 @@ assert len(q) > 100 and "pipeline" not in q and not any(n.startswith("op") and n
 assert set(o) <= set(q)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_rows_without_a_key_all_stay(spark):
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    rows = spark.createDataFrame([(None, "b"), (None, "c"), (1, "d"), (2, "e"), (2, "f")], "k int, v string")
+    ordered = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert ordered(dml.insert_or_ignore(t, rows, ["k"], F.col("v"))) == [(1, "a"), (2, "e"), (None, "b"), (None, "c")]
+    assert ordered(dml.insert_or_replace(t, rows, ["k"], F.col("v"))) == [(1, "d"), (2, "f"), (None, "b"), (None, "c")]
+    assert ordered(dml.upsert(t, rows, ["k"], {"v": "s.v"}, F.col("v"))) == [(1, "d"), (2, "f"), (None, "b"), (None, "c")]
+    assert ordered(dml.upsert(t, rows, ["k"], None, F.col("v"))) == [(1, "a"), (2, "e"), (None, "b"), (None, "c")]
+
+
+def test_percentiles_and_ranks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = {"a": np.round(rng.normal(0, 1, 20_001), 2), "b": np.zeros(7), "c": np.array([1.0, 2.0])}
+    rows = [(g, float(x)) for g, xs in values.items() for x in xs] + [("d", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for p in (0.0, 0.37, 0.5, 1.0):
+        got = {r.g: r.q for r in aggregates.percentile_per_group(df, ["g"], "x", p, "q", 100).collect()}
+        assert set(got) == {"a", "b", "c", "d", None} and got["d"] is None and got[None] == 3.0
+        assert all(abs(got[g] - np.quantile(xs, p)) < 1e-9 for g, xs in values.items())
+    ranks = {(r.x, r.r) for r in windows.rank_over_all(df, "x", "r", descending=True).collect()}
+    wanted = sorted((x for _, x in rows if x is not None), reverse=True)
+    assert ranks == {(x, wanted.index(x) + 1) for x in set(wanted)} | {(None, len(wanted) + 1)}
