@@ -1,9 +1,11 @@
 """WARC records in ZIP packages: a writer, and a reader that never extracts.
 
-A package is a ZIP file with stored (uncompressed) members: `archive/data.warc.gz`, one gzip member per record,
-and `indexes/index.cdxj`, one line of JSON per record with its place in the archive. The reader finds the end-of-
-central-directory record (and its ZIP64 form), reads the central directory, takes each member's data offset from its
-local header, reads the index, and fetches spans of records by range reads inside the stored member.
+A package is a ZIP file with stored (uncompressed) members: archives below `archive/`, one gzip member per record, and
+indexes below `indexes/`, plain or gzipped, with a CDXJ line per record (key, time, JSON with filename, offset and
+length). The reader finds the end-of-central-directory record (and its ZIP64 form), reads the central directory, takes
+each member's data offset from its local header, reads all indexes, and fetches spans of records by range reads inside
+the stored archives. Records other than responses and revisits are passed over; a record of another writer, whose name
+is no page's, has a null page_id. A package without an index, or with compressed archives, raises ValueError.
 
 Packages live below a folder that every executor sees; a task writes a file of its own name and only the names that
 successful tasks return are read. A null html is an empty payload; payloads of at least `least` bytes that repeat are
@@ -14,14 +16,18 @@ null. An empty table gives an empty result; other columns of pages are not read.
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
+import io
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -44,6 +50,23 @@ def urn(page_id: int | None) -> str:
     return f"urn:page:{'' if page_id is None else page_id}"
 
 
+def surt(url: str | None) -> str:
+    """The key of a URL in an index: its host from the top level down, then path and query."""
+    x = urlsplit(url or "")
+    host = re.sub(r"^www\d*\.", "", (x.netloc.rpartition("@")[2].partition(":")[0]).lower())
+    key = f"{','.join(reversed(host.split('.')))}){x.path.lower() or '/'}{'?' + x.query.lower() if x.query else ''}" if host else (url or "-")
+    return quote(key, safe=":/?#[]@!$&()*+,;=%~")
+
+
+def entries(raw: bytes) -> Iterator[dict]:
+    """The JSON part of each line of an index, plain or gzipped."""
+    lines = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+    for line in lines:
+        at = line.find(b"{")
+        if at >= 0 and not line.startswith(b"!"):
+            yield json.loads(line[at:])
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
     """One WARC record, compressed as a gzip member of its own."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -123,12 +146,13 @@ def write_package(out, rows: Iterator[tuple[int | None, str | None, bytes, str,
             for page_id, url, payload, digest, first in rows:
                 raw = record(page_id, url, payload, digest, first)
                 archive.write(raw)
-                lines.append(json.dumps({"urn": urn(page_id), "offset": at, "length": len(raw)}))
+                about = {"url": url or urn(page_id), "digest": f"sha256:{digest}", "filename": ARCHIVE.rpartition("/")[2], "offset": at, "length": len(raw)}
+                lines.append(f"{surt(url)} {re.sub('[^0-9]', '', WHEN)} {json.dumps(about)}")
                 at += len(raw)
                 if at >= most:
                     break
         with z.open(zipfile.ZipInfo(INDEX), "w", force_zip64=zip64) as index:
-            index.write("".join(f"{x}\n" for x in lines).encode())
+            index.write("".join(f"{x}\n" for x in sorted(lines)).encode())
         z.writestr(zipfile.ZipInfo(PACKAGE), json.dumps({"profile": "data-package", "resources": [{"path": ARCHIVE}, {"path": INDEX}]}))
     return len(lines)
 
@@ -167,8 +191,18 @@ def write(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
     return rows.mapInArrow(run, "path string, records long")
 
 
+def _digest_of(payload: bytes, named: str | None) -> tuple[str, bool]:
+    """The bare digest of a payload in the kind that is named (SHA-256 where none is), and whether it is the named one."""
+    kind, _, value = (named or "").partition(":")
+    if kind == "sha1":
+        found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        return found, found == value.upper() or hashlib.sha1(payload).hexdigest() == value.lower()
+    found = hashlib.sha256(payload).hexdigest()
+    return found, kind != "sha256" or found == value.lower()
+
+
 def read(packages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record of packages(path)."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every response and revisit of packages(path)."""
 
     def locate(batches):
         for b in batches:
@@ -177,19 +211,28 @@ def read(packages: DataFrame) -> DataFrame:
                 spans = []
                 with place.open_input_file(path) as f:
                     found = members(f, f.size())
-                    at, length, method = found[INDEX]
-                    base, _, stored = found[ARCHIVE]
-                    if method or stored:
+                    indexes = [m for n, m in sorted(found.items()) if n.startswith("indexes/") and m[1]]
+                    archives = {n.removeprefix("archive/"): m for n, m in found.items() if n.startswith("archive/") and not n.endswith("/")}
+                    if archives and not any(n.startswith("indexes/") for n in found):
+                        raise ValueError(f"{uri} has no index")
+                    if any(m[2] for m in [*indexes, *archives.values()]):
                         raise ValueError("members are not stored")
-                    for line in f.read_at(length, at).splitlines():
-                        x = json.loads(line)
-                        if not spans or len(spans[-1][1]) >= SPAN_RECORDS or x["offset"] + x["length"] - spans[-1][2] > SPAN_BYTES or x["offset"] != spans[-1][2] + sum(spans[-1][1]):
-                            spans.append((base + x["offset"], [], x["offset"]))
-                        spans[-1][1].append(x["length"])
+                    own = sorted((x["filename"].removeprefix("archive/"), int(x["offset"]), int(x["length"])) for at, size, _ in indexes for x in entries(f.read_at(size, at)))
+                    before = None
+                    for name, at, size in dict.fromkeys(own):  # two indexes may name one record
+                        base = archives[name][0]
+                        if before != (name, at) or len(spans[-1][1]) >= SPAN_RECORDS or sum(spans[-1][1]) + size > SPAN_BYTES:
+                            spans.append((base + at, []))
+                        spans[-1][1].append(size)
+                        before = (name, at + size)
                 yield pa.record_batch({"path": pa.array([uri] * len(spans), pa.string()), "at": pa.array([s[0] for s in spans], pa.int64()), "lengths": pa.array([s[1] for s in spans], pa.list_(pa.int64()))})
 
     def fetch(batches):
-        number = lambda x: int(x) if x else None
+        def number(x):
+            hit = re.fullmatch(r"<urn:page:(\d+)>", x or "")
+            return int(hit[1]) if hit else None
+
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
         for b in batches:
             for uri, at, lengths in zip(*(c.to_pylist() for c in b.columns)):
                 place, path = filesystem(uri)
@@ -199,14 +242,17 @@ def read(packages: DataFrame) -> DataFrame:
                 for n in lengths:
                     fields, block = parse(zlib.decompress(raw[p : p + n], 31))
                     p += n
+                    if fields["warc-type"] not in ("response", "revisit"):
+                        continue
                     head, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-                    digest = fields["warc-payload-digest"].removeprefix("sha256:")
-                    if fields["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+                    size = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+                    named = fields.get("warc-payload-digest")
+                    digest, same = _digest_of(payload, named) if fields["warc-type"] == "response" else ((named or "").rpartition(":")[2], True)
+                    if fields["warc-type"] == "response" and (len(payload) != size or not same):
                         raise ValueError(f"damaged record {fields['warc-record-id']}")
-                    refers = fields.get("warc-refers-to")
-                    out.append((number(fields["warc-record-id"][1:-1].removeprefix("urn:page:")), size, digest, fields["warc-type"], refers and number(refers[1:-1].removeprefix("urn:page:")), fields["warc-target-uri"]))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+                    out.append((number(fields["warc-record-id"]), size, digest, fields["warc-type"], number(fields.get("warc-refers-to")), fields["warc-target-uri"]))
+                columns = zip(*out) if out else [()] * len(kinds)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
     parts = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = packages.select("path").repartition(parts).mapInArrow(locate, "path string, at long, lengths array<long>")

@@ -1,6 +1,10 @@
 """WARC packages, the pipeline, and the SQL twins of the operators' queries."""
 
+import base64
+import gzip
+import hashlib
 import io
+import json
 import zipfile
 
 import duckdb
@@ -59,6 +63,40 @@ def test_zip64_end_records():
     assert f.read_at(size, at) == b"65999"
 
 
+def test_package_of_another_writer(spark, tmp_path):
+    """Several archives, a gzipped CDXJ index with SURT keys, string offsets, UUIDs, SHA-1 digests, other record kinds."""
+    body = b"<p>hello</p>"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+    def record(kind, name, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Target-URI: http://www.example.org/a?b=1", *more, f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    response = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    first = [record("warcinfo", "i", b"software: x\r\n"), record("response", "r", response, f"WARC-Payload-Digest: sha1:{sha1}")]
+    second = [record("request", "q", b"GET / HTTP/1.1\r\n\r\n"), record("response", "s", response), record("revisit", "v", b"HTTP/1.1 200 OK\r\n\r\n", f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Refers-To: <urn:uuid:r>")]
+    lines = ["!meta {}"]
+    for name, parts in (("one.warc.gz", first), ("two.warc.gz", second)):
+        at = 0
+        for p in parts:
+            lines.append(f"org,example)/a?b=1 20240101000000 {json.dumps({'filename': name, 'offset': str(at), 'length': str(len(p))})}")
+            at += len(p)
+    path = str(tmp_path / "other.wacz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("pages/pages.jsonl", "{}")
+        z.writestr("archive/two.warc.gz", b"".join(second))
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()))
+        z.writestr("archive/one.warc.gz", b"".join(first))
+    rows = sorted(tuple(r) for r in warc.read(spark.createDataFrame([(path,)], "path string")).select("payload_bytes", "payload_digest", "record_type", "url").collect())
+    url = "http://www.example.org/a?b=1"
+    assert rows == sorted([(12, sha1, "response", url), (12, hashlib.sha256(body).hexdigest(), "response", url), (0, sha1, "revisit", url)])
+    assert warc.surt("http://www.Example.org/A?b=1") == "org,example)/a?b=1"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/one.warc.gz", b"".join(first))
+    with pytest.raises(Exception, match="no index"):
+        warc.read(spark.createDataFrame([(path,)], "path string")).collect()
+
+
 def test_pipeline(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "near_dedup", "substring_dedup", "source_mixing", "bpe_encoding"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
