@@ -48,7 +48,7 @@ def test_op1(spark, sf_dir, rows):
         cells[(level(words[v]) << 8 | level(words[w])) * lm.PAIR_LEVELS + level(n)] += n
     backoff = lm.fit_backoff(cells, model.p1)
     p1 = lambda q: float(model.p1(np.array([q]))[0])
-    off, exact = [], []
+    off, exact, total = [], [], sum(words.values())
     for d, t in tokens.items():
         score = plain = 0.0
         for v, w in zip(["\n", *t[:-1]], t):
@@ -57,12 +57,14 @@ def test_op1(spark, sf_dir, rows):
             seen = min(floor(level(pairs[v, w])) / ceiling(qv), 1) if qv and qw else 0
             score += math.log10((1 - b) * seen + b * p1(qw))
             real = pairs[v, w] / words[v] if words[v] else 0
-            plain += math.log10((1 - b) * real + b * (max(words[w] - discount, discount * len(words)) / sum(words.values()) if words[w] else p1(0)))
+            plain += math.log10((1 - b) * real + b * ((words[w] - discount) / total if words[w] else discount * len(words) / total))
         off.append((got[d].score - score) / len(t))
         exact.append((got[d].score - plain) / len(t))
-    # one probe in 2 ** PROBES hits wrongly and raises a level, by about a power of ten where it is the first
-    assert np.abs(off).mean() < 2 / 2**lm.PROBES and np.abs(off).max() < 0.2
-    assert np.abs(exact).max() < 0.5
+    # one probe in 2 ** PROBES hits wrongly and raises a level, by about a power of ten where it is the first; floors are
+    # at most a fifth below the counts. A short text may hold a wrong hit often, so all tokens are looked at together.
+    size = np.array([len(t) for t in tokens.values()])
+    assert np.abs(off) @ size / size.sum() < 2 / 2**lm.PROBES
+    assert np.abs(exact) @ size / size.sum() < 0.15
 
 
 def test_op2(spark, sf_dir):
