@@ -30,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from marlpit.llm.text import encode_words, ranges, slices, split_words
+from marlpit.llm.text import encode_words, in_turn, ranges, slices, split_words
 
 #: Most code points of a leaf; bytes of text in a slice; words, and longer texts, handed to the library at once (its
 #: results are large); tokens of a window's sides at first.
-LEAF, STEP_BYTES, WORDS, TEXTS, WINDOW = 2048, 8 << 20, 10_000, 500, 8
+LEAF, STEP_BYTES, WORDS, TEXTS, WINDOW = 2048, 4 << 20, 5000, 250, 8
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -270,7 +270,7 @@ def encode_texts(texts: pa.Array, path: str, leaf: int = LEAF) -> Iterator[tuple
 
 def _encode(path: str, leaf: int, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in in_turn(batches):
             for at, ids, off, joins in encode_texts(x.column(1), path, leaf):
                 raw = ids.astype("<u4")
                 sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:])]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from marlpit.llm.text import crc_mod, encode_words, gram_hashes, materialize, slices, split_words, word_hashes
+from marlpit.llm.text import crc_mod, encode_words, gram_hashes, in_turn, materialize, slices, split_words, word_hashes
 
 FOLDS, BINS, FAN = 5, 1000, 32
 NAMES = ["log_words", "word_length", "symbols", "capitals", "digits", "stops", "marks", "pipes", "non_letters", "distinct", "repeated", "dup_lines", "line_words", "bangs", "odd_ends", "long_words"]
@@ -151,7 +151,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, x array<double>): one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_turn(batches):
             x = statistics(b.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))
             yield pa.record_batch({id_col: b.column(0), "x": lists})
@@ -182,7 +182,7 @@ def fit(found: DataFrame, labels: DataFrame, dimensions: int = 256, ridge: float
     def equations(batches):
         part = TaskContext.get().partitionId()
         total = np.zeros((FOLDS, size, size + 1))
-        for b in batches:
+        for b in in_turn(batches):
             z, y, fold = model.features(_matrix(b.column(0))), np.asarray(b.column(1)), np.asarray(b.column(2))
             for k in range(FOLDS):
                 own = z[fold == k]
@@ -212,7 +212,7 @@ def fit(found: DataFrame, labels: DataFrame, dimensions: int = 256, ridge: float
     model.weights = solve(whole)
 
     def binned(batches):
-        for b in batches:
+        for b in in_turn(batches):
             z, y, fold = model.features(_matrix(b.column(0))), np.asarray(b.column(1)), np.asarray(b.column(2))
             raw = np.einsum("ij,ij->i", z, others[fold])
             at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
@@ -228,7 +228,7 @@ def score(found: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) from document_statistics()."""
 
     def run(batches):
-        for b in batches:
+        for b in in_turn(batches):
             yield pa.record_batch({"doc_id": b.column(0), "score": pa.array(model.score(_matrix(b.column(1))))})
 
     return found.select("doc_id", "x").mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, score double")
@@ -249,7 +249,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     at = docs.columns.index("text")
 
     def measure(batches):
-        for b in batches:
+        for b in in_turn(batches):
             x = statistics(b.column(at))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "__mp_x"])
@@ -258,7 +258,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     model = fit(both.select("doc_id", F.col("__mp_x").alias("x")), labels)
 
     def run(batches):
-        for b in batches:
+        for b in in_turn(batches):
             yield b.filter(pa.array(model.score(_matrix(b.column(b.num_columns - 1))) >= threshold)).drop_columns(["__mp_x"])
 
     return both.mapInArrow(run, docs.schema)

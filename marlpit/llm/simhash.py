@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.graph import components, local_components
-from marlpit.llm.text import hash_strings, hot_join, materialize, row_keys, slices, split_words
+from marlpit.llm.text import hash_strings, hot_join, in_turn, materialize, row_keys, slices, split_words
 
 #: Rows of a tile, and fingerprints of a bucket beyond which it is cut into cells.
 TILE, CELL = 64, 4096
@@ -117,7 +117,7 @@ def _compare(radius: int):
             a, b = links_in_tiles(bucket, f, radius)
             return pa.record_batch({"u": pa.array(f[a].view(np.int64)), "v": pa.array(f[b].view(np.int64))})
 
-        for batch in batches:  # sorted by bucket: the last one may go on
+        for batch in in_turn(batches):  # sorted by bucket: the last one may go on
             k = np.concatenate([held_k, np.asarray(batch.column(0))])
             f = np.concatenate([held_f, np.asarray(batch.column(1))])
             if not len(k):
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     """
 
     def run(batches):
-        for x in batches:
+        for x in in_turn(batches):
             fp = fingerprints(x.column(3), shingle).view(np.int64)
             yield pa.record_batch({"id": x.column(0), "row_key": x.column(1), "row_check": x.column(2), "fp": pa.array(fp)})
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from marlpit.llm.fm import FMIndex
-from marlpit.llm.text import encode_words, hot_join, materialize, mix, ranges, slices, split_words, word_hashes
+from marlpit.llm.text import encode_words, give_back, hot_join, in_turn, materialize, mix, ranges, slices, split_words, word_hashes
 
 WINDOW, ANCHOR, PIECE = 50, 16, 64
 #: Words of a shard; documents with an anchor beyond which its stretches alone would fill a shard (about 75 words each),
@@ -74,7 +74,7 @@ def anchors(h: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_turn(batches):
             for at, part in slices(b.column(1)):
                 flat, off = split_words(part)
                 row, _, _, anchor = anchors(word_hashes(flat), off, window)
@@ -86,7 +86,7 @@ def _anchor_rows(window: int):
 
 def _segments(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_turn(batches):
             ids, texts, cold, hot = b.columns
             for at, part in slices(texts):
                 n = len(part)
@@ -168,6 +168,7 @@ def _search(window: int):
         codes, _ = encode_words(flat)
         found = smallest_ids(codes, off, column("key"), column("low"), column("low") < column("high"), window)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(off) - window + 1)]), pa.int32()), pa.array(found))
+        give_back()
         return pa.table({"seg": table.column("seg"), "n": table.column("n"), "lows": lists})
 
     return run
@@ -198,7 +199,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
 def _cut(window: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_turn(batches):
             starts = b.column(b.schema.get_field_index("__mp_starts"))
             texts = b.column(b.schema.get_field_index("__mp_text"))
             for at, part in slices(texts):

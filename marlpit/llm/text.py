@@ -122,6 +122,14 @@ def word_hashes(flat: pa.Array, seed: int = 42) -> np.ndarray:
     return hash_strings(words, seed)[codes] if len(codes) else np.zeros(0, np.uint64)
 
 
+def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; memory freed while one was worked on goes back to the system before the next."""
+    for b in batches:
+        yield b
+        del b
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker process lives on, beside others, after its largest slice."""
     pa.default_memory_pool().release_unused()
