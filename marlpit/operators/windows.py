@@ -64,3 +64,14 @@ def rank_over_all(df: DataFrame, column: str, name: str, descending: bool = Fals
 
 def total_over(x: Column, frame: WindowSpec) -> Column:
     return F.coalesce(F.sum(x.cast("double")).over(frame), F.lit(0.0))
+
+
+def count_distinct_over(df: DataFrame, value: str, partition: list[str], name: str) -> DataFrame:
+    """df with name: count(DISTINCT value) OVER (PARTITION BY partition), nulls not counted.
+
+    Values are counted by an aggregate, combined before the shuffle, and joined back; null keys are a partition too.
+    """
+    found = df.groupBy(*partition).agg(F.countDistinct(value).alias(name))
+    found = found.select(*(F.col(c).alias(f"__of_{c}") for c in partition), name)
+    on = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in partition]
+    return df.join(found, on).drop(*(f"__of_{c}" for c in partition))

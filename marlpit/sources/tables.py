@@ -48,7 +48,7 @@ def generate_series(spark: SparkSession, first: int, last: int, step: int = 1) -
 
 
 def rendered(df: DataFrame, mode: str = "list", separator: str = "|") -> DataFrame:
-    """Rows as one text column `line`: list, csv, tabs, json, quote, insert, line, html or tcl."""
+    """Rows as one text column `line`: list, csv, tabs, ascii, json, quote, insert, line, html, tcl or markdown."""
     cols = [F.col(f"`{c}`") for c in df.columns]
     text = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]
     numeric = {f.name for f in df.schema if f.dataType.simpleString().split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")}
@@ -56,6 +56,8 @@ def rendered(df: DataFrame, mode: str = "list", separator: str = "|") -> DataFra
     line = {
         "list": lambda: F.concat_ws(separator, *text),
         "tabs": lambda: F.concat_ws("\t", *text),
+        "ascii": lambda: F.concat_ws("\x1f", *text),
+        "markdown": lambda: F.concat(F.lit("| "), F.concat_ws(" | ", *(F.replace(t, F.lit("|"), F.lit("\\|")) for t in text)), F.lit(" |")),
         "csv": lambda: F.concat_ws(",", *(F.when(t.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in text)),
         "json": lambda: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}),
         "quote": lambda: F.concat_ws(",", *sql),
@@ -65,3 +67,19 @@ def rendered(df: DataFrame, mode: str = "list", separator: str = "|") -> DataFra
         "tcl": lambda: F.concat_ws(" ", *(F.concat(F.lit('"'), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) for t in text)),
     }[mode]()
     return df.select(line.alias("line"))
+
+
+#: What stands before, between and after the padded columns.
+FRAMES = {"column": ("", "  ", ""), "table": ("| ", " | ", " |"), "box": ("│ ", " │ ", " │")}
+
+
+def aligned(df: DataFrame, mode: str = "column") -> DataFrame:
+    """Rows as one text column `line`, columns padded to their widest value or name: column, table or box.
+
+    The widths are one row of maxima, joined to every row.
+    """
+    before, between, after = FRAMES[mode]
+    cols = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    widths = df.agg(*(F.greatest(F.coalesce(F.max(F.char_length(c)), F.lit(0)), F.lit(len(n))).alias(f"__w{i}") for i, (c, n) in enumerate(zip(cols, df.columns))))
+    padded = [F.rpad(c, F.col(f"__w{i}"), F.lit(" ")) for i, c in enumerate(cols)]
+    return df.crossJoin(F.broadcast(widths)).select(F.concat(F.lit(before), F.concat_ws(between, *padded), F.lit(after)).alias("line"))
