@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlpit.functions import vector_blocks
+from marlpit.session import cut_lineage
+
+#: Numbers in a block of rows at most, and rows at least where there are cores without work.
+BLOCK_NUMBERS, BLOCK_ROWS = 8 << 20, 4096
+
 
 def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
@@ -66,8 +72,28 @@ def _k_best(pairs: DataFrame, k: int) -> DataFrame:
     return best.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _pairs_near(rows: DataFrame, queries: DataFrame, k: int, metric, planes: list[list[float]] | None = None, bucket: float = 1.0) -> DataFrame:
+    """(query_id, vec_id, distance): of each block of rows the k nearest to each query. Every pair is looked at.
+
+    Rows go once to the task of their block, with a copy of the queries for each block: a task holds its rows and reads the queries.
+    """
+    n, dim = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n * max(dim or 0, 1) // BLOCK_NUMBERS), min(4 * rows.sparkSession.sparkContext.defaultParallelism, n // BLOCK_ROWS))
+    own = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asked"), "vec_id", "embedding")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asked"), "vec_id", "embedding")
+    dealt = own.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asked")
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    return dealt.mapInArrow(vector_blocks.search(k, metric, planes, bucket), f"query_id {kind}, vec_id {kind}, distance double")
+
+
 def nearest_all(rows: DataFrame, queries: DataFrame, k: int, metric=l2) -> DataFrame:
-    """(query_id, vec_id, distance, rank): the k rows nearest to every query, both (vec_id, embedding). Without a distance: no row."""
+    """(query_id, vec_id, distance, rank): the k rows nearest to every query, both (vec_id, embedding). Without a distance: no row.
+
+    l2, cosine and inner_product_distance go by blocks; the pairs of another metric are measured one by one.
+    """
+    blockwise = {l2: vector_blocks.L2, cosine: vector_blocks.Cosine, inner_product_distance: vector_blocks.InnerProduct}
+    if metric in blockwise:
+        return _k_best(_pairs_near(rows, queries, k, blockwise[metric]()), k)
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"))
     pairs = rows.crossJoin(asked).select("query_id", "vec_id", metric(F.col("embedding"), F.col("__q")).alias("distance"))
     return _k_best(pairs.where(F.col("distance").isNotNull()), k)
@@ -76,18 +102,16 @@ def nearest_all(rows: DataFrame, queries: DataFrame, k: int, metric=l2) -> DataF
 def nearest_all_by_hash(rows: DataFrame, queries: DataFrame, k: int, bucket: float = 2.0, tables: int = 8, seed: int = 11) -> DataFrame:
     """nearest_all by l2, approximately: exact distances of the pairs that share a random projection bucket in some table.
 
-    Every pair's buckets are compared. A query that finds fewer than k rows so is answered exactly.
+    Every pair's buckets are compared, where its distance may count. A query that finds fewer than k rows so is answered exactly.
     """
     from random import Random
 
     first = rows.where(F.size("embedding") > 0).select(F.size("embedding")).first()  # one row: the dimension
     draw = Random(seed)
     planes = [[draw.gauss(0, 1) for _ in range(first[0] if first else 0)] for _ in range(tables)]
-    hashes = lambda v: F.array(*(F.floor(dot(v, F.array(*map(F.lit, p))) / bucket) for p in planes))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"), hashes(F.col("embedding")).alias("__h"))
-    own = rows.select("vec_id", "embedding", hashes(F.col("embedding")).alias("__own"))
-    near = own.crossJoin(asked).where(F.exists(F.zip_with("__own", "__h", lambda a, b: a == b), lambda x: x))
-    pairs = near.select("query_id", "vec_id", l2(F.col("embedding"), F.col("__q")).alias("distance"))
-    found = _k_best(pairs.where(F.col("distance").isNotNull()), k)
+    found = cut_lineage(_k_best(_pairs_near(rows, queries, k, vector_blocks.L2(), planes, bucket), k))
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(nearest_all(rows, queries.join(full, "vec_id", "left_anti"), k))
+    rest = cut_lineage(queries.join(full, "vec_id", "left_anti"))
+    if rest.isEmpty():
+        return found
+    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(nearest_all(rows, rest, k))
