@@ -7,8 +7,9 @@ agrees with both sides on whole tokens; what lies between the agreed tokens repl
 BPE puts side by side stay so whatever else is around them, so a text made of agreeing pieces is encoded as a whole
 one would be. n_joins counts the joins: one less than the leaves.
 
-Within leaves, a file whose white space parts words and is dropped (found by trying) has each distinct word of the
-slice encoded once; leaves of other files are encoded as they are. Files whose pieces depend on a text's ends (added
+Within leaves, a file whose white space parts words and is dropped (found by trying) has each distinct word encoded
+once, its tokens being kept for the next slices of the worker (KEPT words at most, then it begins anew); leaves of other
+files are encoded as they are. Files whose pieces depend on a text's ends (added
 prefix spaces, stripping, dropout, models other than BPE) are refused.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated results; an empty
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame
 from marlpit.llm.text import encode_words, in_turn, ranges, slices, split_words
 
 #: Most code points of a leaf; bytes of text in a slice; words, and longer texts, handed to the library at once (its
-#: results are large); tokens of a window's sides at first.
-LEAF, STEP_BYTES, WORDS, TEXTS, WINDOW = 2048, 4 << 20, 5000, 250, 8
+#: results are large); tokens of a window's sides at first; words, and code points in them, whose tokens are kept.
+LEAF, STEP_BYTES, WORDS, TEXTS, WINDOW, KEPT, KEPT_POINTS = 2048, 1 << 20, 5000, 250, 8, 100_000, 2_000_000
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -225,12 +226,44 @@ def _word_places(texts: pa.Array) -> np.ndarray:
     begins[1:] &= ~word[:-1]
     edges = off[:-1][off[:-1] < len(raw)]
     begins[edges] = word[edges]
-    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    points = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32, out=points[1:])
     at = np.flatnonzero(begins)
     own = np.searchsorted(off, at, side="right") - 1
     return points[at] - points[off[own]]
 
 
+class KnownWords:
+    """Tokens of words: what was encoded for one slice is there for the next."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, np.int32)
+        self.words, self.tokens, self.size = pa.array([], pa.large_string()), (none, none, none), np.zeros(0, np.int64)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The places of distinct words among those known, where new ones are put."""
+        if len(self.words) > KEPT or (pc.sum(pc.utf8_length(self.words)).as_py() or 0) > KEPT_POINTS:
+            self.forget()
+        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+        new = words.filter(pa.array(at < 0))
+        if len(new):
+            at[at < 0] = len(self.words) + np.arange(len(new))
+            *tokens, size = _arrays(self.tokenizer, new.to_pylist(), WORDS)
+            self.words = pa.concat_arrays([self.words, new])
+            self.tokens = tuple(np.concatenate(x) for x in zip(self.tokens, tokens))
+            self.size = np.concatenate([self.size, size])
+        return at
+
+
+@functools.lru_cache(maxsize=2)
+def known_words(path: str) -> KnownWords:
+    return KnownWords(load(path))
+
+
 def leaf_tokens(leaves: list[str], path: str) -> tuple[Tokens, np.ndarray]:
     """Tokens of all leaves, with places in their own leaf, and the leaves' offsets into them."""
     tokenizer = load(path)
@@ -240,9 +273,11 @@ def leaf_tokens(leaves: list[str], path: str) -> tuple[Tokens, np.ndarray]:
     array = pa.array(leaves, pa.large_string())
     flat, off = split_words(array)
     codes, words = encode_words(flat)
-    ids, first, end, size = _arrays(tokenizer, words.to_pylist(), WORDS)
-    counts = size[codes] if len(codes) else np.zeros(0, np.int64)
-    take = ranges((np.cumsum(size) - size)[codes] if len(codes) else counts, counts)
+    known = known_words(path)
+    codes = known.find(words)[codes]
+    (ids, first, end), size = known.tokens, known.size
+    counts = size[codes]
+    take = ranges((np.cumsum(size) - size)[codes], counts)
     place = np.repeat(_word_places(array), counts).astype(np.int32)
     ends = np.concatenate([[0], np.cumsum(counts)])
     return Tokens(ids[take], first[take] + place, end[take] + place), ends[off]

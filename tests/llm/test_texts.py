@@ -535,3 +535,19 @@ def test_words_are_cut_at_ascii_white_space_only():
     flat, off = split_words(next(slices(pa.array(texts)))[1])
     assert [flat.slice(a, b - a).to_pylist() for a, b in zip(off[:-1], off[1:])] == [WORD.findall(t or "") for t in texts]
     assert [at for at, _ in slices(pa.array(["x" * 10] * 5), 25)] == [0, 2, 4]
+
+
+def test_bpe_keeps_words_from_slice_to_slice(monkeypatch):
+    path = bpe.default_path()
+    texts = pa.array([f"one two thrée word{i % 7} {'z' * (i % 5)}" for i in range(200)])
+    whole = [ids.tolist() for _, ids, _, _ in bpe.encode_texts(texts, path)]
+    asked, known = [], bpe.KnownWords(bpe.load(path))
+    arrays = bpe._arrays
+    monkeypatch.setattr(bpe, "known_words", lambda path: known)
+    monkeypatch.setattr(bpe, "_arrays", lambda tokenizer, words, few: asked.extend(words) or arrays(tokenizer, words, few))
+    monkeypatch.setattr(bpe, "STEP_BYTES", 300)
+    assert [i for _, ids, _, _ in bpe.encode_texts(texts, path) for i in ids.tolist()] == sum(whole, [])
+    assert len(asked) == len(set(asked)) == 14
+    monkeypatch.setattr(bpe, "KEPT", 3)  # beyond that the words are forgotten
+    assert [i for _, ids, _, _ in bpe.encode_texts(texts, path) for i in ids.tolist()] == sum(whole, [])
+    assert len(asked) > 14 and len(known.words) <= 3 + 14
