@@ -103,7 +103,21 @@ sql("join_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders
 sql("join_right", "SELECT c_custkey, o_orderkey FROM {orders} RIGHT JOIN {customer} ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 sql("join_full", "SELECT s_suppkey, c_custkey FROM {supplier} FULL JOIN {customer} ON s_suppkey = c_custkey - 50")
 sql("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
-sql("join_theta_range", "SELECT s_suppkey, c_custkey FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {customer} ON c_nationkey = n_nationkey AND c_acctbal > s_acctbal")
+
+
+@frame("join_theta_range", "SELECT s_suppkey, c_custkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > s_acctbal")
+def _(t, spark):
+    # few nations and many pairs: customers are dealt into parts, each joined with a copy of the suppliers, so that all tasks have work
+    parts, cores = 32, spark.sparkContext.defaultParallelism
+    nations = F.broadcast(t("nation").select("n_nationkey"))
+    part = F.pmod(F.xxhash64("c_custkey"), F.lit(parts)).cast("int")
+    customers = t("customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("n_nationkey"), part.alias("part"))
+    suppliers = t("supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("n_nationkey")).join(nations, "n_nationkey")
+    suppliers = suppliers.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left, right = (x.repartition(8 * cores, "n_nationkey", "part") for x in (customers, suppliers))
+    return left.join(right.hint("shuffle_hash"), ["n_nationkey", "part"]).where("c_acctbal > s_acctbal").select("s_suppkey", "c_custkey")
+
+
 sql("join_using", "WITH a AS (SELECT l_orderkey AS k, sum(l_quantity) AS q FROM {lineitem} GROUP BY l_orderkey), b AS (SELECT o_orderkey AS k, o_custkey FROM {orders}) SELECT k, q, o_custkey FROM a JOIN b USING (k)")
 sql("join_natural", "WITH a AS (SELECT n_nationkey AS k, n_name FROM {nation}), b AS (SELECT s_nationkey AS k, s_name FROM {supplier}) SELECT k, n_name, s_name FROM a NATURAL JOIN b")
 sql("join_comma_where", "SELECT n_name, r_name FROM {nation}, {region} WHERE n_regionkey = r_regionkey")
