@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,30 @@ def aggregate(spark: SparkSession, name: str, f: Callable[[pd.Series], object],
     return found
 
 
+def frame_aggregate(spark: SparkSession, name: str, f: Callable[[np.ndarray, np.ndarray], np.ndarray], returns: str) -> Callable[..., Column]:
+    """Register f, which maps many frames' values, flat, and each frame's first place among them to a value a frame.
+
+    The column function takes a column and a short window frame: the frames are gathered by Spark, and f sees a batch of
+    them at once. Nulls are left out; a frame of nothing has null. In SQL text the function takes an array.
+    """
+
+    def run(frames: pa.Array) -> pa.Array:
+        size = np.asarray(pc.fill_null(pc.list_value_length(frames), 0))
+        some, out = size > 0, np.zeros(len(size))
+        values = np.asarray(frames.flatten())
+        if len(values):
+            starts = (np.cumsum(size) - size)[some]
+            found = np.asarray(f(values, starts))
+            out = np.zeros(len(size), found.dtype)
+            out[some] = found
+        return pa.array(out, mask=~some)
+
+    run.__annotations__ = {"frames": pa.Array, "return": pa.Array}
+    found = F.arrow_udf(run, returnType=returns)
+    spark.udf.register(name, found)
+    return lambda x, frame: found(F.collect_list(x).over(frame))
+
+
 def _scalar_type(returns: str) -> type:
     return {"string": str, "double": float, "float": float}.get(returns, int)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,12 +75,12 @@ def _(t, spark):
 
 @frame("win_user_aggregate", "SELECT o_orderkey, max(o_totalprice) OVER w - min(o_totalprice) OVER w AS spread FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def _(t, spark):
-    def spread(x: pd.Series) -> float:
-        return float(x.max() - x.min())
+    def spread(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(values, starts) - np.minimum.reduceat(values, starts)
 
-    f = register.aggregate(spark, "mp_spread", spread, "double")
+    f = register.frame_aggregate(spark, "mp_spread", spread, "double")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-4, 0)
-    return t("orders").select("o_orderkey", f("o_totalprice").over(w).alias("spread"))
+    return t("orders").select("o_orderkey", f("o_totalprice", w).alias("spread"))
 
 
 # --- functions ---
