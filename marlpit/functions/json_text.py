@@ -183,33 +183,19 @@ def _text(x) -> str:
 
 
 def _changed(doc: Column, change: Callable, *others: Column, returns: str = "string") -> Column:
-    @F.pandas_udf(returns)
-    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for cols in parts:
-            out = []
-            for first, *rest in zip(*cols):
-                try:
-                    out.append(None if first is None else change(json.loads(first), *rest))
-                except ValueError:
-                    out.append(None)
-            yield pd.Series(out, dtype=object)
-
-    return run(doc, *others) if others else _one(change, returns)(doc)
-
-
-def _one(change: Callable, returns: str):
-    @F.pandas_udf(returns)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for col in parts:
-            out = []
-            for first in col:
-                try:
-                    out.append(None if first is None else change(json.loads(first)))
-                except ValueError:
-                    out.append(None)
-            yield pd.Series(out, dtype=object)
-
-    return run
+    # batch to batch, not iterators: all changes of a projection share a worker, while each iterator has its own in every task
+    def run(*cols: pd.Series) -> pd.Series:
+        out = []
+        for first, *rest in zip(*cols):
+            try:
+                out.append(None if first is None else change(json.loads(first), *rest))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    columns = {1: lambda a: run(a), 2: lambda a, b: run(a, b)}[1 + len(others)]  # a named argument a column
+    columns.__annotations__ = dict.fromkeys("ab"[: 1 + len(others)], pd.Series) | {"return": pd.Series}
+    return F.pandas_udf(columns, returns)(doc, *others)
 
 
 def set_(doc: Column, path: str, value: Column) -> Column:
