@@ -12,6 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: The bits below each place of a word.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A packed bit row with rank."""
 
@@ -22,8 +26,7 @@ class Bits:
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         word = at >> 6
-        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ones[word].astype(np.int64) + np.bitwise_count(self.packed[word] & below)
+        return self.ones.take(word) + np.bitwise_count(self.packed.take(word) & BELOW.take(at & 63))
 
     @property
     def nbytes(self) -> int:
@@ -40,12 +43,14 @@ class WaveletMatrix:
             bit = ((s >> level) & 1).astype(np.uint8)
             self.rows.append((level, Bits(bit), len(bit) - int(bit.sum())))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
+        self.masks = 1 << np.arange(bits - 1, -1, -1)[:, None]
         self.base = self.walk(np.arange(1 << bits), np.zeros(1 << bits, np.int64))
 
     def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for level, row, zeros in self.rows:
+        bits = (symbol & self.masks) != 0
+        for bit, (_, row, zeros) in zip(bits, self.rows):
             one = row.rank(at)
-            at = np.where((symbol >> level) & 1, zeros + one, at - one)
+            at = np.where(bit, zeros + one, at - one)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -62,7 +67,8 @@ class FMIndex:
         text = np.zeros(n, np.int64)  # 0 ends each text
         text[np.arange(len(symbols)) + np.repeat(np.arange(len(lengths)), lengths)] = symbols
         self.depth = depth
-        ranks = {1: np.unique(text, return_inverse=True)[1].astype(np.int64)}
+        used = np.bincount(text) > 0
+        ranks = {1: (np.cumsum(used) - 1)[text]}
         have = 1
         while have < depth:
             step = min(have, depth - have)

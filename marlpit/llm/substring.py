@@ -78,8 +78,11 @@ def _anchor_rows(window: int):
             for at, part in slices(b.column(1)):
                 flat, off = split_words(part)
                 row, _, _, anchor = anchors(word_hashes(flat), off, window)
-                key = np.unique(np.column_stack([row.astype(np.uint64), anchor]), axis=0)
-                yield pa.record_batch({"id": b.column(0).take(pa.array(key[:, 0].astype(np.int64) + at)), "anchor": pa.array(key[:, 1].view(np.int64))})
+                order = np.lexsort((anchor, row))
+                row, anchor = row[order], anchor[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+                yield pa.record_batch({"id": b.column(0).take(pa.array(row[new] + at)), "anchor": pa.array(anchor[new].view(np.int64))})
 
     return run
 
@@ -125,13 +128,13 @@ def _segments(window: int):
 
 
 def smallest_ids(symbols: np.ndarray, off: np.ndarray, key: np.ndarray, low: np.ndarray, copied: np.ndarray, window: int) -> np.ndarray:
-    """For each window of a shard's stretches, the smallest id of another document found to have it (or NONE), flat.
+    """For each window of a shard's stretches (of small whole numbers), the smallest id of another document found to have it (or NONE), flat.
 
     The stretches of each anchor are put in the order of their smallest ids and halved again and again: at each level
     an index of the first halves is searched with the second halves. Stretches that several documents have are
     indexed once more, for the first of these, and searched for the others.
     """
-    size = np.diff(off)
+    size, top = np.diff(off), int(symbols.max(initial=0)) + 1
     windows = size - window + 1
     first = np.cumsum(windows) - windows
     out = np.full(int(windows.sum()), NONE)
@@ -149,11 +152,12 @@ def smallest_ids(symbols: np.ndarray, off: np.ndarray, key: np.ndarray, low: np.
         a, q = np.flatnonzero(indexed), np.flatnonzero(asked)
         if not len(a) or not len(q):
             continue
-        codes, own = np.unique(symbols[ranges(off[a], size[a])], return_inverse=True)
-        index = FMIndex(own + 1, np.concatenate([[0], np.cumsum(size[a])]), window, low[a])
-        text = symbols[ranges(off[q], size[q])]
-        at = np.minimum(np.searchsorted(codes, text), len(codes) - 1)
-        length, begin = index.matching_statistics(np.where(codes[at] == text, at + 1, -1), np.concatenate([[0], np.cumsum(size[q])]))
+        own = symbols[ranges(off[a], size[a])]
+        there = np.zeros(top, bool)
+        there[own] = True
+        code = np.where(there, np.cumsum(there), -1)  # the index's symbols count from 1
+        index = FMIndex(code[own], np.concatenate([[0], np.cumsum(size[a])]), window, low[a])
+        length, begin = index.matching_statistics(code[symbols[ranges(off[q], size[q])]], np.concatenate([[0], np.cumsum(size[q])]))
         spot = ranges(np.cumsum(size[q]) - size[q], windows[q])
         hit = length[spot] >= window  # intervals of suffixes above the threshold
         to = ranges(first[q], windows[q])[hit]
