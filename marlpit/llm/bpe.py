@@ -8,8 +8,8 @@ BPE puts side by side stay so whatever else is around them, so a text made of ag
 one would be. n_joins counts the joins: one less than the leaves.
 
 Within leaves, a file whose white space parts words and is dropped (found by trying) has each distinct word encoded
-once, its tokens being kept for the next slices of the worker (KEPT words at most, then it begins anew); leaves of other
-files are encoded as they are. Files whose pieces depend on a text's ends (added
+once, its tokens being kept for the next slices of the worker (when more than KEPT words are held, the half that the
+most slices had stays); leaves of other files are encoded as they are. Files whose pieces depend on a text's ends (added
 prefix spaces, stripping, dropout, models other than BPE) are refused.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated results; an empty
@@ -35,7 +35,7 @@ from marlpit.llm.text import encode_words, in_turn, ranges, slices, split_words
 
 #: Most code points of a leaf; bytes of text in a slice; words, and longer texts, handed to the library at once (its
 #: results are large); tokens of a window's sides at first; words, and code points in them, whose tokens are kept.
-LEAF, STEP_BYTES, WORDS, TEXTS, WINDOW, KEPT, KEPT_POINTS = 2048, 1 << 20, 5000, 250, 8, 100_000, 2_000_000
+LEAF, STEP_BYTES, WORDS, TEXTS, WINDOW, KEPT, KEPT_POINTS = 2048, 1 << 20, 5000, 250, 8, 300_000, 4_000_000
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -237,25 +237,36 @@ class KnownWords:
     """Tokens of words: what was encoded for one slice is there for the next."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.forget()
+        none = np.zeros(0, np.int32)
+        self.tokenizer, self.words, self.tokens = tokenizer, {}, (none, none, none)
+        self.size, self.points, self.found = (np.zeros(0, np.int64) for _ in range(3))
 
     def forget(self) -> None:
-        none = np.zeros(0, np.int32)
-        self.words, self.tokens, self.size = pa.array([], pa.large_string()), (none, none, none), np.zeros(0, np.int64)
+        """Keep half as many words as may be held: those that the most slices had, of equals the newest."""
+        order = np.argsort(self.found, kind="stable")[::-1][: KEPT // 2]
+        keep = np.sort(order[np.cumsum(self.points[order]) <= KEPT_POINTS // 2])
+        take = ranges((np.cumsum(self.size) - self.size)[keep], self.size[keep])
+        words = list(self.words)
+        self.words = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.tokens = tuple(x[take] for x in self.tokens)
+        self.size, self.points, self.found = self.size[keep], self.points[keep], (self.found[keep] + 1) // 2
 
     def find(self, words: pa.Array) -> np.ndarray:
         """The places of distinct words among those known, where new ones are put."""
-        if len(self.words) > KEPT or (pc.sum(pc.utf8_length(self.words)).as_py() or 0) > KEPT_POINTS:
+        if len(self.words) > KEPT or self.points.sum() > KEPT_POINTS:
             self.forget()
-        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
-        new = words.filter(pa.array(at < 0))
-        if len(new):
+        few = words.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.words.get, few, itertools.repeat(-1)), np.int64, len(few))
+        new = [few[i] for i in np.flatnonzero(at < 0).tolist()]
+        if new:
             at[at < 0] = len(self.words) + np.arange(len(new))
-            *tokens, size = _arrays(self.tokenizer, new.to_pylist(), WORDS)
-            self.words = pa.concat_arrays([self.words, new])
+            *tokens, size = _arrays(self.tokenizer, new, WORDS)
+            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
             self.tokens = tuple(np.concatenate(x) for x in zip(self.tokens, tokens))
             self.size = np.concatenate([self.size, size])
+            self.points = np.concatenate([self.points, np.fromiter(map(len, new), np.int64, len(new))])
+            self.found = np.concatenate([self.found, np.zeros(len(new), np.int64)])
+        self.found[at] += 1
         return at
 
 

@@ -551,3 +551,22 @@ def test_bpe_keeps_words_from_slice_to_slice(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 3)  # beyond that the words are forgotten
     assert [i for _, ids, _, _ in bpe.encode_texts(texts, path) for i in ids.tolist()] == sum(whole, [])
     assert len(asked) > 14 and len(known.words) <= 3 + 14
+
+
+def test_bpe_keeps_the_words_of_the_most_slices(monkeypatch):
+    """When more words come than are kept, frequent ones aren't encoded again and again."""
+    path = bpe.default_path()
+    common = [f"{a}{b}" for a in "abcdé" for b in "vwxyz"]
+    texts = pa.array([" ".join([*common, *(f"rare{i}x{k}" for k in range(20))]) for i in range(40)])
+    whole = [ids.tolist() for _, ids, _, _ in bpe.encode_texts(texts, path)]
+    asked, known = [], bpe.KnownWords(bpe.load(path))
+    arrays = bpe._arrays
+    monkeypatch.setattr(bpe, "known_words", lambda path: known)
+    monkeypatch.setattr(bpe, "_arrays", lambda tokenizer, words, few: asked.extend(words) or arrays(tokenizer, words, few))
+    monkeypatch.setattr(bpe, "STEP_BYTES", 300)
+    for points in (bpe.KEPT_POINTS, 400):
+        monkeypatch.setattr(bpe, "KEPT_POINTS", points)
+        monkeypatch.setattr(bpe, "KEPT", 60 if points > 400 else 1000)
+        assert [i for _, ids, _, _ in bpe.encode_texts(texts, path) for i in ids.tolist()] == sum(whole, [])
+        assert len(known.words) <= 60 + 45
+    assert all(asked.count(w) == 1 for w in common) and len(asked) == len(common) + 2 * 800
